@@ -2,12 +2,62 @@
 
 from __future__ import annotations
 
-from vaultlens.llm import truncation
+from vaultlens.llm import components, nearcopies, overlap, splitting, tokenize, truncation
+from vaultlens.plans import sql as S
 
 
 def queries() -> dict:
-    return {"p9_found": truncation.p9_found, "p9_sources": truncation.p9_sources}
+    return {
+        "p1_found": components.p1_found,
+        "p3_found": overlap.p3_found,
+        "p4_found": nearcopies.p4_found,
+        "p4_groups": nearcopies.p4_groups,
+        "p5_found": splitting.p5_found,
+        "p5_pieces": splitting.p5_pieces,
+        "p7_ids": tokenize.p7_ids,
+        "p7_tokens": tokenize.p7_tokens,
+        "p9_found": truncation.p9_found,
+        "p9_sources": truncation.p9_sources,
+    }
+
+
+_CONFIRMED = f"select * from {S.counting('candidate_groups', 'group_id', 'verified_at')} where is_duplicate"
+
+
+_NEAR = f"""
+with n as {S.counting('vault_notes', 'note_id', 'updated_at')},
+w as (select note_id, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') ws from n),
+r as (select note_id, ws, unnest(range(1, len(ws) - 1)) i from w where len(ws) >= 25),
+s as (select distinct note_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] x from r),
+t as (select *, count(*) over (partition by note_id) m from s),
+c as (select a.note_id note_id_a, b.note_id note_id_b, a.m ma, b.m mb, count(*) o from t a join t b on a.x = b.x and a.note_id < b.note_id group by all)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"""
+with recursive g as ({_CONFIRMED}),
+p as (select unnest(pairs) x from g),
+e as (select distinct x.a a, x.b b from p where x.a <> x.b),
+s as (select a, b from e union select b, a from e),
+n as (select distinct unnest(notes) i from g union select x.a from p union select x.b from p),
+reach as (select i note_id, i c from n where i is not null union select s.b, reach.c from reach join s on s.a = reach.note_id)
+select note_id, min(c) component_id from reach group by note_id""",
+        "p3_found": f"""
+with n as {S.counting('note_records', 'note_id', 'scanned_at')},
+v as (
+  select distinct note_id, 't:' || lower(regexp_replace(x, '^(?:{S.WS}|#)+|{S.WS}+$', '', 'g')) x from (select note_id, unnest(tags) x from n)
+  union select distinct note_id, 'l:' || {S.target_key('x')} from (select note_id, unnest(links) x from n)),
+w as (select *, count(*) over (partition by note_id) m from v where x not in ('t:', 'l:')),
+c as (select a.note_id note_id_a, b.note_id note_id_b, a.m ma, b.m mb, count(*) o from w a join w b on a.x = b.x and a.note_id < b.note_id where a.m > 3 and b.m > 3 group by all)
+select note_id_a, note_id_b from c where 10 * o >= 7 * (ma + mb - o)""",
+        "p4_found": _NEAR + "select note_id_a, note_id_b from c where 2 * o >= ma + mb - o",
+        "p5_found": f"""
+with s as {S.counting('doc_sections', 'section_id', 'parsed_at')},
+p as {S.counting('plan_notes', 'plan_note_id', 'proposed_at')},
+i as (
+  select 'section' item_kind, section_id item_id, array_to_string(list_filter(list_transform(paragraphs, lambda x: {S.strip('x')}), lambda x: x is not null and x <> ''), chr(10) || chr(10)) t from s
+  union all select 'plan', plan_note_id, body from p)
+select i.item_kind, i.item_id from i join piece_limits l on l.item_kind = i.item_kind where length(t) > l.max_chars""",
+    }
