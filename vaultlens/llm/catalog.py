@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from vaultlens.llm import components, nearcopies, overlap, splitting, tokenize, truncation
+from vaultlens.llm import components, consensus, nearcopies, overlap, packing, splitting, tokenize, truncation
 from vaultlens.plans import sql as S
 
 
 def queries() -> dict:
     return {
         "p1_found": components.p1_found,
+        "p2_found": consensus.p2_found,
+        "p2_records": consensus.p2_records,
         "p3_found": overlap.p3_found,
         "p4_found": nearcopies.p4_found,
         "p4_groups": nearcopies.p4_groups,
@@ -16,6 +18,8 @@ def queries() -> dict:
         "p5_pieces": splitting.p5_pieces,
         "p7_ids": tokenize.p7_ids,
         "p7_tokens": tokenize.p7_tokens,
+        "p8_containers": packing.p8_containers,
+        "p8_fill": packing.p8_fill,
         "p9_found": truncation.p9_found,
         "p9_sources": truncation.p9_sources,
     }
@@ -24,6 +28,10 @@ def queries() -> dict:
 _CONFIRMED = f"select * from {S.counting('candidate_groups', 'group_id', 'verified_at')} where is_duplicate"
 
 
+def _quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 _NEAR = f"""
 with n as {S.counting('vault_notes', 'note_id', 'updated_at')},
 w as (select note_id, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') ws from n),
@@ -44,6 +52,23 @@ s as (select a, b from e union select b, a from e),
 n as (select distinct unnest(notes) i from g union select x.a from p union select x.b from p),
 reach as (select i note_id, i c from n where i is not null union select s.b, reach.c from reach join s on s.a = reach.note_id)
 select note_id, min(c) component_id from reach group by note_id""",
+        "p2_found": f"""
+with g as ({_CONFIRMED}),
+m as (select distinct group_id, unnest(notes) note_id from g),
+m2 as (select * from m where note_id is not null qualify count(*) over (partition by group_id) > 1),
+t as (select lower({S.strip('source_doc')}) s, max(trust) trust from source_registry group by 1),
+n as (select n.*, coalesce(trust, 0) trust from {S.counting('vault_notes', 'note_id', 'updated_at')} n left join t on t.s = lower({S.strip('source_doc')})),
+c as (
+  select group_id, m2.note_id, trust, updated_at,
+    regexp_matches(title, '[\\p{{L}}\\p{{N}}]') and regexp_replace({S.title_key('title')}, ' ?(?:\\(\\d+\\)|\\d+)$', '') not in ({_quoted(consensus.STAND_IN_TITLES)}, '') has_title,
+    len(list_filter(list_transform(tags, lambda x: lower(regexp_replace(x, '^(?:{S.WS}|#)+|{S.WS}+$', '', 'g'))), lambda x: x is not null and regexp_matches(x, '[\\p{{L}}\\p{{N}}]') and x not in ({_quoted(consensus.STAND_IN_TAGS)}))) > 0 has_tags,
+    len(regexp_extract_all(array_to_string(list_distinct(list_transform(regexp_split_to_array(body, '\\n{S.WS}*\\n'), lambda x: {S.strip('x')})), ' '), '{S.NOT_WS}+')) words
+  from m2 join n on n.note_id = m2.note_id)
+select group_id, 'title' field, note_id from c where has_title qualify row_number() over (partition by group_id order by trust desc, updated_at desc, note_id) = 1
+union all
+select group_id, 'tags', note_id from c where has_tags qualify row_number() over (partition by group_id order by updated_at desc, note_id) = 1
+union all
+select group_id, 'body', note_id from c where words > 0 qualify row_number() over (partition by group_id order by words desc, note_id) = 1""",
         "p3_found": f"""
 with n as {S.counting('note_records', 'note_id', 'scanned_at')},
 v as (
