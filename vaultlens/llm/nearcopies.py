@@ -64,7 +64,7 @@ def shingles(texts: DataFrame, *, size: int = 3, least_words: int = 25) -> DataF
 
 def near_copies(texts: DataFrame, *, threshold: float = 0.5, size: int = 3, least_words: int = 25) -> DataFrame:
     """Pairs (a, b), a < b, of ids of similar texts; texts has id, each once, and text."""
-    return similar_pairs(shingles(texts, size=size, least_words=least_words), threshold, words=4)
+    return similar_pairs(shingles(texts, size=size, least_words=least_words), threshold, words=10)
 
 
 def note_bodies(notes: DataFrame) -> DataFrame:

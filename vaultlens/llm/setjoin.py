@@ -4,20 +4,22 @@ Sets are arrays of 64-bit features. Equal sets are one class. A class is
 entered under signatures such that any two classes above the threshold share
 one, whatever their sizes:
 
-* Sizes fall into bands [L, 2L). A pair meets in the band of its larger set;
-  a set enters its own band and those above it that may hold a larger partner.
-* In each band a set keeps its features of lowest frequency. If a pair shares
-  at least o features, the o's of either set being bounds from its size, and
-  each set keeps all but its o - c most frequent ones, then both keep c common
-  features: the c rarest common ones.
-* The kept features are partitioned into B = c - 1 blocks by hash. Two of the c
-  common ones lie in the same block, so the two-feature subsets of each block
-  are signatures of which the pair shares one.
-
-Frequency only orders features; any order gives all pairs, so hashed counts
-in a table of fixed size serve. Inside a signature a bit map of each set bounds
-the symmetric difference from below, which drops most chance meetings without
-loss; what remains is compared exactly.
+* A set keeps its rarest features, all but as many of the most frequent ones
+  as it can do without: if a pair shares at least o features, the o's of either
+  set being bounds from its size, and each keeps all but its o - c most
+  frequent ones, then both keep c common features, the c rarest common ones.
+* A rare feature is a signature by itself, for which c = 1 is kept. Pairs whose
+  rarest common feature is rare meet there.
+* All common features of the other pairs are frequent ones. For them, sizes
+  fall into bands [L, 2L); a pair meets in the band of its larger set, and a
+  set enters its own band and those above it that may hold a larger partner.
+  The kept frequent features are partitioned into B = c - 1 blocks by hash; two
+  of the c common ones lie in the same block, so the two-feature subsets of
+  each block are signatures of which the pair shares one.
+
+A feature that no other set has is kept, but is no signature. Inside a signature
+a bit map of each set bounds the symmetric difference from below, which drops
+most chance meetings without loss; the rest is compared exactly.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.plans.runtime import materialize
 
-#: Counters of the frequency table, a fixed size: one byte each is broadcast.
-SLOTS = 1 << 20
 #: Share of the surest common features that the blocks are spread over.
 SPREAD = 0.4
+#: Sets that may have a feature which is a signature by itself.
+RARE = 256
 _EPS = 1e-9
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -51,14 +53,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def frequency_classes(sets: DataFrame) -> np.ndarray:
-    """A class of frequency for each slot of the features, higher for more frequent ones."""
-    slot = F.explode(F.transform("f", lambda x: F.pmod(x, F.lit(SLOTS)))).alias("slot")
-    n = sets.select(slot).groupBy("slot").agg(F.count("*").alias("n")).where("n > 2").select(F.col("slot").cast("int"), F.least(F.lit(255), F.floor(F.log2("n") * 6)).cast("smallint").alias("class"))
-    got = n.toArrow()  # at most SLOTS rows of six bytes
-    table = np.zeros(SLOTS, np.uint8)
-    table[got.column("slot").to_numpy()] = got.column("class").to_numpy()
-    return table
+def with_maps(features: DataFrame, words: int) -> DataFrame:
+    """id, f, m (the number of features) and the words b0, b1, ... of a bit map of each set."""
+    schema = "id bigint, f array<bigint>, m int" + "".join(f", b{k} bigint" for k in range(words))
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if not b.num_rows:
+                continue
+            f = b.column("f")
+            sizes = np.diff(f.offsets.to_numpy()).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            cell = (mix(f.flatten().to_numpy().view(np.uint64) ^ np.uint64(0x5BD1E995)) % np.uint64(64 * words)).astype(np.int64)
+            maps = np.zeros((b.num_rows, words), np.uint64)
+            np.bitwise_or.at(maps, (row, cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
+            cols = [b.column("id"), f, pa.array(sizes.astype(np.int32)), *(pa.array(np.ascontiguousarray(maps[:, k]).view(np.int64)) for k in range(words))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "f", "m", *(f"b{k}" for k in range(words))])
+
+    return features.select("id", "f").mapInArrow(rows, schema)
 
 
 def bands(m: int, t: float) -> list[tuple[int, int, int]]:
@@ -76,43 +88,50 @@ def bands(m: int, t: float) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, classes: np.ndarray, t: float, words: int) -> tuple[np.ndarray, ...]:
-    """(signature, row) of many sets at once, and the rows' bit maps as words of 64 bits."""
-    n = len(ids)
-    row = np.repeat(np.arange(n), sizes)
-    u = flat.view(np.uint64)
-    # bit maps
-    h = mix(u ^ np.uint64(0x5BD1E995))
-    cell = (h % np.uint64(64 * words)).astype(np.int64)
-    maps = np.zeros((n, words), np.uint64)
-    np.bitwise_or.at(maps, (row, cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
-    # rank of each feature in its set, the rarest first
-    cls = classes[(flat % SLOTS).astype(np.int64)]
-    order = np.lexsort((u, cls, row))
-    start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    rank = np.arange(len(flat)) - np.repeat(start, sizes)
-    u, row = u[order], row[order]
+def ranked(x: Column, df: Column) -> Column:
+    """A feature with its class of frequency, eight to each doubling, in the highest bits.
+
+    56 bits of a feature are left; should two agree in them, they only let a
+    few more pairs be compared.
+    """
+    top = F.least(F.lit(127), F.floor(F.log2(df) * 8)).cast("bigint")
+    return F.shiftleft(top, 56).bitwiseOR(x.bitwiseAND(F.lit((1 << 56) - 1)))
+
+
+def signatures(sizes: np.ndarray, counts: np.ndarray, s: np.ndarray, t: float, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of many sets at once.
+
+    Of each row sizes has the number of all features, counts that of the ones
+    other sets have too; s has those, ranked(), row after row.
+    """
+    n = len(sizes)
+    row = np.repeat(np.arange(n), counts)
+    u = s.view(np.uint64)
+    order = np.lexsort((u, row))
+    start = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    rank = np.arange(len(u)) - np.repeat(start, counts) + np.repeat(sizes - counts, counts)
+    u = u[order]
+    often = (u >> np.uint64(56)).astype(np.float64) > math.log2(rare) * 8
+    alone = (rank <= sizes[row] - np.ceil(t * sizes[row] - _EPS)) & ~often
     table = {int(m): bands(int(m), t) for m in np.unique(sizes)}
     depth = max(map(len, table.values()))
-    keep = np.zeros((depth, n), np.int64)
-    blocks = np.zeros((depth, n), np.int64)
-    band = np.zeros((depth, n), np.int64)
+    keep, blocks, band = (np.zeros((depth, n), np.int64) for _ in range(3))
     for m, of in table.items():
         at = sizes == m
         for k, (j, p, b) in enumerate(of):
             band[k, at], keep[k, at], blocks[k, at] = j, p, b
-    sig, who = [], []
+    sig, who = [mix(u[alone])], [row[alone]]
     for k in range(depth):
-        kept = rank < keep[k][row]
-        f, r = u[kept], row[kept]
+        kept = often & (rank < keep[k][row])
+        x, r = u[kept], row[kept]
         b, j = blocks[k][r], band[k][r].astype(np.uint64)
-        base = mix(f + (j + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        base = mix(x + (j + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         one = b == 0
         sig.append(base[one])
         who.append(r[one])
-        f, r, b, base = f[~one], r[~one], b[~one], base[~one]
-        block = (mix(f ^ np.uint64(0x2545F4914F6CDD1D)) % b.astype(np.uint64)).astype(np.int64)
-        o = np.lexsort((f, block, r))
+        x, r, b, base = x[~one], r[~one], b[~one], base[~one]
+        block = (mix(x ^ np.uint64(0x2545F4914F6CDD1D)) % b.astype(np.uint64)).astype(np.int64)
+        o = np.lexsort((x, block, r))
         r, block, base = r[o], block[o], base[o]
         group = np.concatenate(([0], np.cumsum((r[1:] != r[:-1]) | (block[1:] != block[:-1])))) if len(r) else r
         d = 1
@@ -123,63 +142,72 @@ def signatures(ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, classes: np
             sig.append(mix(base[:-d][same] * np.uint64(3) + base[d:][same]))
             who.append(r[:-d][same])
             d += 1
-    return np.concatenate(sig).view(np.int64), np.concatenate(who), maps.view(np.int64)
+    return np.concatenate(sig).view(np.int64), np.concatenate(who)
+
 
+def signature_rows(sets: DataFrame, t: float, words: int, rare: int = RARE) -> DataFrame:
+    """sig, id, m and b0, b1, ...: a row for each signature of each set.
 
-def signature_rows(sets: DataFrame, classes: np.ndarray, t: float, words: int) -> DataFrame:
-    """sig, id, m and the words b0, b1, ... of the bit map, a row for each signature of each set."""
-    held = sets.sparkSession.sparkContext.broadcast(classes)
-    schema = "sig bigint, id bigint, m int" + "".join(f", b{k} bigint" for k in range(words))
+    sets has id, m, the bit map and s: the features that other sets have too,
+    ranked().
+    """
+    maps = [f"b{k}" for k in range(words)]
+    schema = "sig bigint, id bigint, m int" + "".join(f", {b} bigint" for b in maps)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for a in range(0, b.num_rows, 500):
-                part = b.slice(a, 500)
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                f = part.column("f")
-                sizes = np.diff(f.offsets.to_numpy()).astype(np.int64)
-                if not len(ids):
-                    continue
-                sig, who, maps = signatures(ids, sizes, f.flatten().to_numpy(), held.value, t, words)
-                cols = [sig, ids[who], sizes[who].astype(np.int32), *(np.ascontiguousarray(maps[who, k]) for k in range(words))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sig", "id", "m", *(f"b{k}" for k in range(words))])
-
-    return sets.select("id", "f").mapInArrow(rows, schema)
-
-
-def similar_sets(sets: DataFrame, t: float, words: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different sets whose Jaccard similarity is t or more; sets has id and f, no set empty."""
-    s = signature_rows(sets, frequency_classes(sets), t, words)
+            for a in range(0, b.num_rows, 2000):
+                part = b.slice(a, 2000)
+                s = part.column("s")
+                counts, flat = np.diff(s.offsets.to_numpy()).astype(np.int64), s.flatten()
+                sizes = part.column("m").to_numpy().astype(np.int64)
+                sig, who = signatures(sizes, counts, flat.to_numpy(), t, rare)
+                cols = [part.column(c).to_numpy()[who] for c in ("id", "m", *maps)]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), *map(pa.array, cols)], names=["sig", "id", "m", *maps])
+
+    return sets.select("id", "m", *maps, "s").mapInArrow(rows, schema)
+
+
+def similar_sets(sets: DataFrame, copies: DataFrame, t: float, words: int, rare: int = RARE) -> DataFrame:
+    """Pairs (a, b), a < b, of different sets whose Jaccard similarity is t or more.
+
+    sets is with_maps() of sets none of which is empty; copies has the ids
+    that are left out, as another id stands for them.
+    """
+    maps = [f"b{k}" for k in range(words)]
+    e = sets.select("id", F.explode("f").alias("x"))
+    shared = e.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    held = e.join(shared, "x").select("id", ranked(F.col("x"), F.col("df")).alias("x")).groupBy("id").agg(F.collect_list("x").alias("s"))
+    s = materialize(signature_rows(held.join(copies, "id", "left_anti").join(sets.select("id", "m", *maps), "id"), t, words, rare), "signatures")
     x, y = s.alias("x"), s.alias("y")
     c = lambda n, k: F.col(f"{n}.{k}")
-    apart = sum((F.bit_count(c("x", f"b{k}").bitwiseXOR(c("y", f"b{k}"))) for k in range(words)), F.lit(0))
+    apart = sum((F.bit_count(c("x", b).bitwiseXOR(c("y", b))) for b in maps), F.lit(0))
     may = (c("x", "id") < c("y", "id")) & (F.least(c("x", "m"), c("y", "m")) >= t * F.greatest(c("x", "m"), c("y", "m")) - _EPS) & (apart <= (1 - t) / (1 + t) * (c("x", "m") + c("y", "m")) + _EPS)
     met = materialize(x.join(y, (c("x", "sig") == c("y", "sig")) & may).select(c("x", "id").alias("a"), c("y", "id").alias("b")).distinct(), "candidates")
-    left = met.join(sets.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
+    asked = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
+    of = materialize(sets.select("id", "f").join(asked, "id", "left_semi"), "compared")
+    both = met.join(of.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(of.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b")
     common = F.size(F.array_intersect("fa", "fb"))
     return both.where(common >= t * (F.size("fa") + F.size("fb") - common) - _EPS).select("a", "b")
 
 
-def classes_of(features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets without copies (id, f), the smallest id standing for its class, and members (rep, id, n)."""
-    keyed = materialize(features.select("id", "f", F.xxhash64("f").alias("k1"), F.hash("f").alias("k2")), "features")
-    of = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    copies = of.where("n > 1")
-    members = materialize(keyed.select("id", "k1", "k2").join(copies, ["k1", "k2"]).select("rep", "id", "n"), "members")
-    sets = materialize(keyed.select("id", "f").join(members.where("rep <> id").select("id"), "id", "left_anti"), "sets")
-    return sets, members
+def classes_of(sets: DataFrame) -> DataFrame:
+    """rep and id of every set that has copies; the smallest id stands for its class."""
+    of = sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    return sets.select("id", "k1", "k2").join(of, ["k1", "k2"]).select("rep", "id")
 
 
-def similar_pairs(features: DataFrame, t: float, words: int) -> DataFrame:
+def similar_pairs(features: DataFrame, t: float, words: int, rare: int = RARE) -> DataFrame:
     """Pairs (a, b), a < b, of all ids whose sets have a Jaccard similarity of t or more.
 
     features has id (each once) and f, an array of different 64-bit features,
     never empty. Copies are compared once, as a class, and only the result
-    names all their pairs.
+    names all their pairs. Of words, the length of the bit maps in 64 bits,
+    and rare only the work depends, not the result.
     """
-    sets, members = classes_of(features)
-    pairs = similar_sets(sets, t, words)
+    sets = materialize(with_maps(features, words).select("*", F.xxhash64("f").alias("k1"), F.hash("f").alias("k2")), "sets")
+    members = materialize(classes_of(sets), "members")
+    pairs = similar_sets(sets, members.where("rep <> id").select("id"), t, words, rare)
     a = members.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
     b = members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
     far = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b"))
