@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,6 +81,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session, so that their Python need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        base = os.path.join(tempfile.mkdtemp(prefix="vaultlens-"), "vaultlens")
+        with zipfile.ZipFile(base + ".zip", "w") as z:
+            for at, _, names in os.walk(os.path.join(root, "vaultlens")):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), root))
+        spark.sparkContext.addPyFile(base + ".zip")
+        _shipped.add(app)
+
+
 def salts(df: DataFrame) -> int:
     """Number of salts for a key that may hold a large share of the rows."""
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
