@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vaultlens.functions import replies
 from vaultlens.functions import text as T
@@ -60,7 +61,7 @@ def ask(prompts: DataFrame, rewriter: Rewriter, *, tries: int = 3, wait: float =
     continued with its own tail as context. A task that is run again asks
     again; a caller whose rewriter has side effects must key them by prompt.
     """
-    schema = prompts.schema.add("reply", "string")
+    schema = StructType([*prompts.schema.fields, StructField("reply", StringType())])
 
     def one(prompt: str) -> str | None:
         for k in range(tries):
