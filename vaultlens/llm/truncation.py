@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,9 +137,13 @@ def ending(text: str | None, footers: tuple[str, ...] = ()) -> tuple[str, str, s
     return ("item" if LIST.match(last) else "line"), final, before
 
 
-TALLY = "kind string, doc_id bigint, source string, state string, word string, before string, n_chars bigint, n_bytes bigint, same bigint, total bigint, final bigint, penult bigint"
+TALLY = "kind string, doc_id bigint, source string, state string, word string, before string, n_chars bigint, n_bytes bigint, brief bigint, total bigint, final bigint, penult bigint"
 #: Words a task counts before it hands the counts on.
 FLUSH = 200_000
+#: Characters of a brief message, which is whole if the corpus has it more than twice.
+BRIEF = 80
+#: Footer lines up to which their table is broadcast; beyond, it is joined as the planner sees fit.
+FEW_FOOTERS = 10_000
 _RUNS = re.compile(r"([^\W_]+)([\W_]*)")
 
 
@@ -147,7 +152,7 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     finals: Counter = Counter()
     penults: Counter = Counter()
-    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("state", pa.string()), ("word", pa.string()), ("before", pa.string()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("same", pa.int64()), ("total", pa.int64()), ("final", pa.int64()), ("penult", pa.int64())])
+    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("state", pa.string()), ("word", pa.string()), ("before", pa.string()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("brief", pa.int64()), ("total", pa.int64()), ("final", pa.int64()), ("penult", pa.int64())])
 
     def words() -> pa.RecordBatch:
         rows = [("word", None, None, None, w, None, None, None, None, n, finals[w], penults[w]) for w, n in counts.items()]
@@ -157,9 +162,10 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for i, source, text, footers, same in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "source", "text", "footers", "same"))):
+        for i, source, text, footers in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "source", "text", "footers"))):
             state, last, before = ending(text, tuple(footers or ()))
-            out.append(("text", i, source, state, last.lower(), before.lower(), len(text or ""), len((text or "").encode()), same, None, None, None))
+            brief = xxhash.xxh64_intdigest(text) - 2**63 if text and len(text) <= BRIEF else None
+            out.append(("text", i, source, state, last.lower(), before.lower(), len(text or ""), len((text or "").encode()), brief, None, None, None))
             if state == "none":
                 continue
             runs = _RUNS.findall(strip_end(text, tuple(footers or ()))[0].lower())
@@ -197,10 +203,12 @@ def truncated(docs: DataFrame) -> DataFrame:
     are shuffled, never the texts.
     """
     docs = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    short = docs.where(F.length("text") <= 80).groupBy(F.col("text").alias("__text")).agg(F.count("*").alias("same")).where(F.col("same") > 2)
-    read = docs.join(footers(docs), "source", "left").join(short, F.col("text") == F.col("__text"), "left").drop("__text")
+    feet = materialize(footers(docs), "footers")
+    few = (feet.agg(F.sum(F.size("footers"))).first()[0] or 0) <= FEW_FOOTERS
+    read = docs.join(F.broadcast(feet) if few else feet, "source", "left")
     tally = materialize(read.mapInArrow(_read_texts, TALLY), "endings")
-    texts = tally.where("kind = 'text'").select("doc_id", "source", "state", "word", "before", "n_chars", "n_bytes", F.coalesce("same", F.lit(1)).alias("same"))
+    texts = tally.where("kind = 'text'").select("doc_id", "source", "state", "word", "before", "n_chars", "n_bytes", "brief")
+    often = texts.where("brief is not null").groupBy("brief").agg(F.count("*").alias("same")).where("same > 2")
     vocabulary = materialize(tally.where("kind = 'word'").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("total", "final", "penult")]), "vocabulary")
     # the trie as a relation: every proper prefix of a word leads to it
     asked = texts.where(F.col("state").isin("item", "line")).select("word").distinct()
@@ -208,7 +216,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     led = asked.join(prefixes, "word", "left_semi").withColumn("led", F.lit(True))
     known = asked.join(vocabulary, "word").select("word", "total", "final")
     prior = vocabulary.select(F.col("word").alias("before"), F.col("total").alias("b_total"), "penult")
-    open_ = texts.where(F.col("state").isin("item", "line")).join(known, "word", "left").join(led, "word", "left").join(prior, "before", "left")
+    open_ = texts.where(F.col("state").isin("item", "line")).join(often, "brief", "left").withColumn("same", F.coalesce("same", F.lit(1))).join(known, "word", "left").join(led, "word", "left").join(prior, "before", "left")
     broken = F.col("total").isNull() & F.coalesce("led", F.lit(False))
     can_end = F.when(F.col("total").isNotNull(), F.col("final") >= 0.02 * F.col("total")).otherwise(F.coalesce(F.col("penult") >= 0.05 * F.col("b_total"), F.lit(False)))
     common = F.col("same") > 2
