@@ -60,7 +60,7 @@ t as (select lower({S.strip('source_doc')}) s, max(trust) trust from source_regi
 n as (select n.*, coalesce(trust, 0) trust from {S.counting('vault_notes', 'note_id', 'updated_at')} n left join t on t.s = lower({S.strip('source_doc')})),
 c as (
   select group_id, m2.note_id, trust, updated_at,
-    regexp_matches(title, '[\\p{{L}}\\p{{N}}]') and regexp_replace({S.title_key('title')}, ' ?(?:\\(\\d+\\)|\\d+)$', '') not in ({_quoted(consensus.STAND_IN_TITLES)}, '') has_title,
+    regexp_matches(title, '[\\p{{L}}\\p{{N}}]') and regexp_replace({S.title_key('title')}, ' ?(?:\\(\\d+\\)|\\d+)$', '') not in ({_quoted(consensus.STAND_IN_TITLES)}) has_title,
     len(list_filter(list_transform(tags, lambda x: lower(regexp_replace(x, '^(?:{S.WS}|#)+|{S.WS}+$', '', 'g'))), lambda x: x is not null and regexp_matches(x, '[\\p{{L}}\\p{{N}}]') and x not in ({_quoted(consensus.STAND_IN_TAGS)}))) > 0 has_tags,
     len(regexp_extract_all(array_to_string(list_distinct(list_transform(regexp_split_to_array(body, '\\n{S.WS}*\\n'), lambda x: {S.strip('x')})), ' '), '{S.NOT_WS}+')) words
   from m2 join n on n.note_id = m2.note_id)
