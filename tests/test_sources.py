@@ -134,3 +134,15 @@ def test_catalog_runs(spark, sf):
     for name in ("audit_summary", "plan_violations", "registry_drift", "p6_report"):
         assert q[name](spark, sf).count() > 0
     assert F is not None
+
+
+def test_merge_plan(spark, tmp_path):
+    groups = spark.createDataFrame([(1, [1, 2], "A", ["x/y"], "merged"), (2, [3], None, None, None)], "group_id bigint, notes array<bigint>, canonical_title string, canonical_tags array<string>, canonical_body string")
+    notes = spark.createDataFrame([(1, "Notes/A.md", "A", "s"), (2, "Notes/B.md", "B", "t"), (3, "Notes/C.md", "C", "")], "note_id bigint, path string, title string, source_doc string")
+    (tmp_path / "Notes").mkdir()
+    for n in "ABC":
+        (tmp_path / f"Notes/{n}.md").write_text(n)
+    apply.apply_plan(apply.merge_plan(groups, notes, "2025-01-01"), str(tmp_path), dry_run=False)
+    assert sorted(os.listdir(tmp_path / "Notes")) == ["A.md", "C.md"] and (tmp_path / "Notes/A.md").read_text().endswith('source_doc: "s"\nnote_type: atomic\n---\n\nmerged\n')
+    assert sorted(os.listdir(tmp_path / ".archive")) == ["2025-01-01_dedup_A.md", "2025-01-01_dedup_B.md"]
+    assert {tuple(r) for r in apply.title_map(groups, notes).collect()} == {("A", "A"), ("B", "A")}

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaultlens.operators.plan import render
+
 
 def _put(path: str, content: str) -> None:
     os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -60,3 +62,30 @@ def archive_plan(notes: DataFrame, run_date: str, mark: str = "") -> DataFrame:
     j = notes.withColumn("base", base).withColumn("n", n)
     dest = F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n") - 1)).otherwise(F.lit("")), F.lit(".md"))
     return j.select(F.lit("archive").alias("op"), "path", dest.alias("dest"), F.lit(None).cast("string").alias("content"))
+
+
+def merge_plan(groups: DataFrame, notes: DataFrame, run_date: str, folder: str = "Notes") -> DataFrame:
+    """Archive and write operations that merge confirmed groups into their canonical notes.
+
+    groups has group_id, notes and the canonical fields; notes has note_id,
+    path, title and source_doc. The canonical note has the source of the
+    group's first note by id. A note in several groups is archived once; of
+    canonical notes of one name the one of the smallest group counts.
+    """
+    g = groups.where("canonical_title is not null and canonical_body is not null")
+    m = g.select("group_id", F.explode(F.array_distinct("notes")).alias("note_id")).join(notes.select("note_id", "path", "source_doc"), "note_id")
+    stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+    old = archive_plan(m.select("path", stem.alias("stem")).distinct(), run_date, "dedup_")
+    first = m.groupBy("group_id").agg(F.min_by("source_doc", "note_id").alias("source_doc"))
+    new = g.join(first, "group_id").select(
+        F.col("group_id").alias("plan_note_id"), F.col("canonical_title").alias("title"), F.col("canonical_tags").alias("tags"), F.lit(run_date).alias("note_date"), "source_doc", F.lit("atomic").alias("note_type"), F.col("canonical_body").alias("body")
+    )
+    files = render(new).groupBy("file_name").agg(F.min_by("content", "plan_note_id").alias("content"))
+    return old.unionByName(files.select(F.lit("write").alias("op"), F.concat(F.lit(f"{folder}/"), "file_name").alias("path"), F.lit(None).cast("string").alias("dest"), "content"))
+
+
+def title_map(groups: DataFrame, notes: DataFrame) -> DataFrame:
+    """old and new titles of merged notes, for relink()."""
+    g = groups.where("canonical_title is not null")
+    m = g.select(F.explode(F.array_distinct("notes")).alias("note_id"), F.col("canonical_title").alias("new"))
+    return m.join(notes.select("note_id", F.col("title").alias("old")), "note_id").select("old", "new")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultlens.functions import replies
 from vaultlens.functions import text as T
-from vaultlens.operators import audit, graph, orphans, plan, prompts, registry, rewrite
+from vaultlens.operators import apply, audit, graph, orphans, plan, prompts, registry, rewrite
 from vaultlens.operators import similarity as sim
 from vaultlens.plans import sql as S
 from vaultlens.plans.runtime import counting_rows, materialize, read_table
@@ -194,6 +194,25 @@ def import_prompts(spark, d: str) -> DataFrame:
     return prompts.import_prompts(_sections(spark, d), "Split the document into notes. Answer in JSON.", ["study/memory"])
 
 
+def merge_plan(spark, d: str) -> DataFrame:
+    return apply.merge_plan(_groups(spark, d).where("is_duplicate"), tables.vault_notes(spark, d), RUN_DATE)
+
+
+def frontmatter_gaps(spark, d: str) -> DataFrame:
+    n = tables.notes(spark, d).where("frontmatter is not null")
+    gaps = F.array_sort(plan.missing_keys(F.col("frontmatter"), ["tags", "date", "source_doc", "note_type"]))
+    return n.select("note_id", gaps.alias("missing")).where(F.size("missing") > 0)
+
+
+def note_prompts(spark, d: str) -> DataFrame:
+    n = tables.notes(spark, d).where(audit.is_thin())
+    return prompts.note_prompts(n, "Enrich the note. Answer in JSON.", ["study/memory"])
+
+
+def pair_prompts(spark, d: str) -> DataFrame:
+    return prompts.pair_prompts(_pair_notes(spark, d).where("score between 0.8 and 0.9"))
+
+
 def queries() -> dict:
     notes, plans = tables.notes, tables.plan_notes
     titles = lambda s, d: read_table(s, d, "title_index")
@@ -247,6 +266,10 @@ def queries() -> dict:
         "reply_payloads": reply_payloads,
         "group_prompts": group_prompts,
         "import_prompts": import_prompts,
+        "merge_plan": merge_plan,
+        "frontmatter_gaps": frontmatter_gaps,
+        "note_prompts": note_prompts,
+        "pair_prompts": pair_prompts,
         "section_levels": lambda s, d: docx.relevel(_sections(s, d)),
         "event_windows": lambda s, d: incremental.event_windows(read_table(s, d, "events")),
         "event_windows_stream": lambda s, d: incremental.stream_event_windows(s, f"{d}/events.parquet"),
@@ -387,6 +410,9 @@ def oracle_sql() -> dict[str, str]:
             m as (select note_id note, title, source_doc s, list_filter({_TOKENS.format('title')}, lambda x: length(x) >= 4) tk from n),
             c as (select target, title, note, (case when t.s = m.s and t.s <> '' then 3 else 0 end + len(list_intersect(t.tk, m.tk)))::bigint score from t join m on target <> note)
             select target, title, score, row_number() over (partition by target order by score desc, title, note)::integer place from c where score > 0 qualify place <= 3""",
+        "frontmatter_gaps": w + _NOTES + """, k as (select note_id, case when json_valid(frontmatter) and json_type(frontmatter) = 'OBJECT' then json_keys(frontmatter) else [] end ks from n where frontmatter is not null)
+            select * from (select note_id, list_sort(list_filter(['tags', 'date', 'source_doc', 'note_type'], lambda x: not list_contains(ks, x))) missing from k) where len(missing) > 0""",
+        "note_prompts": w + _NOTES + " select note_id, 'Enrich the note. Answer in JSON.' || chr(10) || chr(10) || 'Allowed tags: study/memory' || chr(10) || chr(10) || 'Title: ' || title || chr(10) || chr(10) || body prompt from n where note_type = 'atomic' and words between 1 and 79",
         "truncated_replies": f"with x as (select doc_id, regexp_replace(text, '{S.WS}+$', '') s from documents) select doc_id, coalesce(s = '' or (ends_with(s, '\"') and (length(s) - length(replace(s, '\"', ''))) % 2 <> 0) or length(s) - length(regexp_replace(s, '[{{\\[]', '', 'g')) > length(s) - length(regexp_replace(s, '[}}\\]]', '', 'g')) + 1 or right(s, 1) in (',', ':', '\\'), true) truncated from x",
         "section_levels": f"with s as {S.counting('doc_sections', 'section_id', 'parsed_at')}, o as (select source_file, coalesce(min(level) filter (where heading is not null and level > 0), 1) - 1 off from s group by 1) select section_id, s.source_file, heading, case when heading is null then 0 else level - off end::integer as level from s join o on o.source_file = s.source_file",
         "event_windows": _WINDOWS,
