@@ -4,6 +4,7 @@ import json
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -153,6 +154,15 @@ def test_length_bounds_the_ratio(a, b):
     assert SequenceMatcher(None, a, b).ratio() <= bound + 1e-12
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text(max_size=14), st.text(max_size=14), st.floats(0, 1)), max_size=8))
+def test_ratios_are_left_out_only_below_the_limit(rows):
+    a, b, least = (pd.Series([r[k] for r in rows], dtype=t) for k, t in enumerate((object, object, float)))
+    for (x, y, low), got in zip(rows, sim.ratios_from(a, b, least)):
+        want = SequenceMatcher(None, x, y).ratio()
+        assert got == want or got != got and want < low
+
+
 def test_reviewed_and_linked(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8)], "a bigint, b bigint, score double")
     reviewed = spark.createDataFrame([([2, 1],), ([2, 3, 4],)], "notes array<bigint>")

@@ -11,16 +11,24 @@ MAX_GROUP = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node reached) of edges (a, b), by spreading minima with path halving."""
+    """node and root (the smallest node reached) of edges (a, b).
+
+    Each node points to a smaller one of its component. In a round every edge
+    offers the grandparent of its one end to the other end and to that end's
+    parent, and each node takes the least of what it has and is offered, so
+    trees hook onto each other and grow flat at once. It ends when no pointer
+    moves, after about as many rounds as the logarithm of the longest path.
+    """
     e = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     both = e.union(e.select("b", "a"))
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root"), F.lit(True).alias("moved")), "labels")
+    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")).withColumn("moved", F.lit(True)), "labels")
     while label.agg(F.max("moved")).first()[0]:
-        near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        jump = label.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = label.drop("moved").join(near, "node").join(jump, "root", "left")
-        low = F.least("root", "low", "up")
-        turned = materialize(new.select("node", low.alias("root"), (low != F.col("root")).alias("moved")), "labels")
+        up = label.select(F.col("node").alias("root"), F.col("root").alias("grand"))
+        known = label.drop("moved").join(up, "root")
+        offers = both.join(known.select(F.col("node").alias("b"), "grand"), "b").join(label.select(F.col("node").alias("a"), "root"), "a")
+        offers = offers.select(F.explode(F.array("a", "root")).alias("node"), "grand").groupBy("node").agg(F.min("grand").alias("low"))
+        low = F.least("root", "grand", F.coalesce("low", "grand"))
+        turned = materialize(known.join(offers, "node", "left").select("node", low.alias("root"), (low != F.col("root")).alias("moved")), "labels")
         release(label)
         label = turned
     return label.select("node", "root")

@@ -14,15 +14,19 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from vaultlens.functions import text as T
+from vaultlens.plans.runtime import salts
 
 #: Weights of title, tags and title tokens.
 DEDUP, AUDIT = (0.5, 0.3, 0.2), (0.7, 0.3, 0.0)
+#: Notes of a key that one task compares with all notes of the key.
+PER_PART = 500
 #: Tokens too common in titles to relate notes.
 STOP_TOKENS = ["через", "между", "после", "вокруг", "вместо", "against", "using", "about"]
 
@@ -40,6 +44,38 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _counts(texts: list[str], classes: int = 64) -> np.ndarray:
+    """How often each text has characters of each class."""
+    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") % classes, minlength=classes) for t in texts])
+
+
+def ratios_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """difflib's ratio of each pair, missing where the characters in common show that it is below least."""
+    codes, texts = pd.factorize(pd.concat([a, b], ignore_index=True))
+    if not len(codes):
+        return pd.Series([], dtype=float)
+    counts, n = _counts(list(texts)), len(a)
+    size = counts.sum(axis=1)
+    x, y = codes[:n], codes[n:]
+    total = size[x] + size[y]
+    bound = np.where(total == 0, 1.0, 2.0 * np.minimum(counts[x], counts[y]).sum(axis=1) / np.maximum(total, 1))
+    out = np.full(n, np.nan)
+    m, seen = SequenceMatcher(None), None
+    for k in np.flatnonzero(bound >= least.to_numpy() - 1e-9):
+        if b.iat[k] != seen:
+            seen = b.iat[k]
+            m.set_seq2(seen)
+        m.set_seq1(a.iat[k])
+        out[k] = m.ratio()
+    return pd.Series(out)
+
+
+@F.pandas_udf(DoubleType())
+def ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """ratios_from for columns."""
+    return ratios_from(a, b, least)
+
+
 def length_bound(a: Column, b: Column) -> Column:
     """Upper bound of the ratio by the texts' lengths; 1 for two empty ones."""
     la, lb = F.length(a), F.length(b)
@@ -68,13 +104,20 @@ def similar_pairs(notes: DataFrame, weights: tuple[float, float, float], thresho
         raise ValueError("threshold must exceed the title's weight")
     k = keyed(notes, weights)
     e = k.withColumn("key", F.explode("keys"))
-    x, y = e.alias("x"), e.drop("keys").join(k.select("note_id", F.col("keys").alias("keys")), "note_id").alias("y")
+    # the notes of a frequent key are dealt out on the one side and repeated on the other
+    parts = e.groupBy("key").agg(F.ceil(F.count("*") / PER_PART).cast("int").alias("parts")).where("parts > 1")
+    e = e.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    n = salts(notes)  # explicit, as the work follows pairs, not the bytes by which small partitions are merged
+    x = e.withColumn("part", F.pmod(F.xxhash64("note_id"), F.col("parts")).cast("int")).repartition(n, "key", "part").alias("x")
+    y = e.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition(n, "key", "part").alias("y")
     a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     sets = wg * T.jaccard(a("tags"), b("tags")) + (wk * T.jaccard(a("tokens"), b("tokens")) if wk else F.lit(0.0))
     once = a("key") == F.array_min(F.array_intersect(a("keys"), b("keys")))
-    may = (a("key") == b("key")) & (a("note_id") < b("note_id")) & once & (wt * length_bound(a("low"), b("low")) + sets >= threshold - 1e-9)
+    least = threshold - 1e-9
+    title = wt * length_bound(a("low"), b("low")) if wt else F.lit(0.0)
+    may = (a("key") == b("key")) & (a("part") == b("part")) & (a("note_id") < b("note_id")) & (title + sets >= least) & once
     met = x.join(y, may).select(a("note_id").alias("a"), b("note_id").alias("b"), a("low").alias("low_a"), b("low").alias("low_b"), sets.alias("sets"))
-    score = wt * ratio("low_a", "low_b") + F.col("sets") if wt else F.col("sets")
+    score = wt * ratio_from("low_a", "low_b", (least - F.col("sets")) / wt) + F.col("sets") if wt else F.col("sets")
     return met.withColumn("score", score).where(F.col("score") >= threshold).select("a", "b", "score")
 
 
