@@ -142,6 +142,12 @@ def test_consensus_votes():
     assert consensus.distance(["a"], ["b"]) == 1.0 and consensus.distance([], []) == 0.0
 
 
+def test_long_values_are_aligned_in_time():
+    a, b = ["w"] * 40_000 + ["x"] + ["w"] * 40_000, ["w"] * 40_001 + ["y"] * 30_000 + ["w"] * 9_000
+    assert consensus.consensus([a, b], [(2,), (1,)]) == a and consensus.consensus([a, b], [(1,), (2,)]) == b
+    assert consensus.closest([1, 2], [a, b], [(1, 0), (2, 0)]) == 2
+
+
 def test_representatives(spark, monkeypatch):
     rows = [(1, "t", 10, 5, 1, ["a"]), (1, "t", 9, 5, 1, ["b"]), (1, "t", 8, 4, 9, ["c"]), (1, "t", 9, 5, 1, ["b"]), (2, "t", 3, None, None, ["z"]), (3, "t", 3, 1, 1, None), (4, "t", 3, 1, 1, [])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "group bigint, field string, member bigint, w1 bigint, w2 bigint, tokens array<string>, of string")

@@ -135,6 +135,12 @@ def test_endings():
     assert truncation.ending("It is whole.\n\n-- \nforwarded", foot)[0] == "whole"
 
 
+def test_long_blank_runs_take_no_time():
+    gap = " " * 300_000 + "\n" * 300_000
+    assert truncation.ending("One." + gap + "Two." + gap)[0] == "whole"
+    assert truncation.ending("One." + gap + "two and thr" + " " * 300_000 + "👍")[0] in ("whole", "line")
+
+
 def test_planted_cuts(spark):
     rnd = random.Random(8)
     nouns = [f"{a}{b}er" for a in ("gard", "lett", "numb", "wint", "summ", "pap") for b in ("", "in", "al")]

@@ -30,6 +30,7 @@ TOKEN = re.compile(r"[^\W_]+")
 LIST = re.compile(r"\s*(?:[-*+•]|\d+[.)]) +")
 TAG_LINE = re.compile(r"\s*(?:#[^\s#]+\s*)+$")
 SIGNATURE = re.compile(r"\s*(?:—|--|–) ?[^\W\d_][\w.' -]{0,40}$")
+EMOJI = re.compile("[\u200d\ufe0f\U0001f000-\U0001ffff\u2600-\u27bf]")
 SOURCE = re.compile(r"\s*(?:Source|Quelle|Fuente|Источник): ?\S+/\S+/\d+$")
 #: A line that begins an object or a list of objects; '[[' begins a link.
 JSON_START = re.compile(r'(?:^|\n)[ \t]*(?:\{(?=\s*(?:"|\}|$))|\[(?=\s*(?:\{|$)))')
@@ -43,11 +44,14 @@ def strip_end(text: str, footers: tuple[str, ...] = ()) -> tuple[str, bool]:
     while True:
         for f in footers:
             if text.endswith("\n" + f) and text[: -len(f)].strip():
-                text = re.sub(r"\n\s*--\s*$", "", text[: -len(f)].rstrip()).rstrip()
+                text = text[: -len(f)].rstrip()
+                if text.endswith("\n--"):
+                    text = text[:-3].rstrip()
                 break
         else:
-            if (m := MARKS.search(text)) and text[: m.start()].strip():
-                text, marked = text[: m.start()].rstrip(), True
+            tail = text[-64:]  # longer than any mark
+            if (m := MARKS.search(tail)) and (rest := text[: len(text) - len(tail) + m.start()].rstrip()):
+                text, marked = rest, True
                 continue
             return text, marked
 
@@ -101,7 +105,9 @@ def ending(text: str | None, footers: tuple[str, ...] = ()) -> tuple[str, str, s
     if body.rfind("[[") > body.rfind("]]") and "\n" not in body[body.rfind("[[") :]:
         return "cut", "", ""
     last = body.rsplit("\n", 1)[-1].rstrip("\r")
-    plain = re.sub(r"[\s‍️\U0001f000-\U0001ffff☀-➿]+$", "", last)
+    plain = last.rstrip()
+    while plain and EMOJI.match(plain[-1]):
+        plain = plain[:-1].rstrip()
     emoji = plain != last.rstrip()
     if last.lstrip().startswith("|"):
         rows = []
