@@ -61,3 +61,9 @@ def test_safe_names(spark, titles):
     out = got(df, safe_name(F.col("t")))
     assert out == [name_in_python(t) for t in titles]
     assert all(len(x.encode()) <= 200 for x in out)
+
+
+def test_long_runs_of_white_space(spark):
+    blanks = "a" + " \n" * 200_000 + "b" + "\t" * 200_000
+    df = spark.createDataFrame([(0, blanks)], "i int, t string")
+    assert got(df, F.length(T.strip("t"))) == [400_002] and got(df, F.length(T.rstrip("t"))) == [400_002]

@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType
 from vaultlens.functions import text as T
 
 _CLOSER = {"{": "}", "[": "]"}
+#: Strings, the last one perhaps without its end, and brackets outside of them.
+_PARTS = re.compile(r'"(?:[^"\\]|\\.)*(?P<end>"?)|[{}\[\]]', re.S)
 
 
 def looks_truncated(c: Column | str) -> Column:
@@ -20,7 +22,7 @@ def looks_truncated(c: Column | str) -> Column:
 
     Brackets within strings count as well, and one missing closer is let pass.
     """
-    s = F.regexp_replace(T.col(c), f"{T.WS}+$", "")
+    s = T.rstrip(c)
     n = lambda chars: F.length(s) - F.length(F.translate(s, chars, ""))
     return F.coalesce((s == "") | (s.endswith('"') & (n('"') % 2 != 0)) | (n("{[") > n("}]") + 1) | F.right(s, F.lit(1)).isin(",", ":", "\\"), F.lit(True))
 
@@ -37,22 +39,16 @@ def fenced(c: Column | str) -> Column:
 def repair_json(text: str) -> str | None:
     """JSON of a text that breaks off, with what is open closed; None if that doesn't help."""
     text = text.rstrip(",: \n\r\t")
-    closers: list[str] = []
-    quoted = skip = False
-    for ch in text:
-        if skip:
-            skip = False
-        elif ch == "\\":
-            skip = True
-        elif ch == '"':
-            quoted = not quoted
-        elif quoted:
-            continue
-        elif ch in _CLOSER:
-            closers.append(_CLOSER[ch])
-        elif ch in "}]" and closers:
-            closers.pop()
-    text += '"' * quoted + "".join(reversed(closers))
+    wanted, quote = "", ""
+    for m in _PARTS.finditer(text):
+        part = m.group()
+        if part[0] == '"':
+            quote = "" if m["end"] else '"'
+        elif part in _CLOSER:
+            wanted = _CLOSER[part] + wanted
+        else:
+            wanted = wanted[1:]
+    text += quote + wanted
     try:
         json.loads(text)
     except ValueError:

@@ -23,9 +23,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def rstrip(c: Column | str) -> Column:
+    """Without white space at the end; a run is tried from its start only, so long runs within a text cost no more."""
+    return F.regexp_replace(col(c), f"(?<!{WS}){WS}++$", "")
+
+
 def strip(c: Column | str) -> Column:
     """Without surrounding white space, as str.strip()."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(col(c), f"^{WS}++|(?<!{WS}){WS}++$", "")
 
 
 def collapse(c: Column | str) -> Column:
