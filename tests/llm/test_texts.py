@@ -165,3 +165,17 @@ def test_planted_cuts(spark):
     found = {i for i, c in got.items() if c}
     assert len(found & cut) >= 0.98 * len(cut) and len(found - cut) <= 0.02 * len(rows)
     assert truncation.truncated(df.limit(0)).collect() == [] and F is not None
+
+
+def test_copies_of_a_cut_text_are_cut(spark):
+    rows = [("plain", f"The meeting about page {k} is over. We see the hub page and the garden.") for k in range(60)]
+    rows += [("chat", f"see the hub page and the garden and page {k} of the garden") for k in range(60)]
+    broken, short = "Notes for the next mee", "Notes for the next"
+    rows += [("plain", broken)] * 60 + [("chat", broken)] * 30 + [("plain", short)] * 4 + [("chat", "passt so")] * 20 + [("plain", "passt so")] * 4
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, source string, text string")
+    cut = {}
+    for r in truncation.truncated(df).collect():
+        cut.setdefault(rows[r.doc_id], set()).add(r.cut)
+    assert cut["plain", broken] == cut["chat", broken] == cut["plain", short] == cut["plain", "passt so"] == {True}
+    assert cut["chat", "passt so"] == {False}
+    assert all(v == {False} for (_, t), v in cut.items() if "garden" in t)

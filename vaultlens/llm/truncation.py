@@ -143,11 +143,13 @@ def ending(text: str | None, footers: tuple[str, ...] = ()) -> tuple[str, str, s
     return ("item" if LIST.match(last) else "line"), final, before
 
 
-TALLY = "kind string, doc_id bigint, source string, state string, word string, before string, n_chars bigint, n_bytes bigint, brief bigint, total bigint, final bigint, penult bigint"
+TALLY = "kind string, doc_id bigint, source string, state string, word string, before string, n_chars bigint, n_bytes bigint, hash bigint, total bigint, final bigint, penult bigint"
 #: Words a task counts before it hands the counts on.
 FLUSH = 200_000
-#: Characters of a brief message, which is whole if the corpus has it more than twice.
+#: Characters of a brief message.
 BRIEF = 80
+#: A brief message that a chat source has so often, and in this share of its texts, can be all that was said.
+REPEATS, REPEAT_SHARE = 3, 0.01
 #: Footer lines up to which their table is broadcast; beyond, it is joined as the planner sees fit.
 FEW_FOOTERS = 10_000
 _RUNS = re.compile(r"([^\W_]+)([\W_]*)")
@@ -158,7 +160,7 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     finals: Counter = Counter()
     penults: Counter = Counter()
-    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("state", pa.string()), ("word", pa.string()), ("before", pa.string()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("brief", pa.int64()), ("total", pa.int64()), ("final", pa.int64()), ("penult", pa.int64())])
+    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("state", pa.string()), ("word", pa.string()), ("before", pa.string()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("hash", pa.int64()), ("total", pa.int64()), ("final", pa.int64()), ("penult", pa.int64())])
 
     def words() -> pa.RecordBatch:
         rows = [("word", None, None, None, w, None, None, None, None, n, finals[w], penults[w]) for w, n in counts.items()]
@@ -170,8 +172,8 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i, source, text, footers in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "source", "text", "footers"))):
             state, last, before = ending(text, tuple(footers or ()))
-            brief = xxhash.xxh64_intdigest(text) - 2**63 if text and len(text) <= BRIEF else None
-            out.append(("text", i, source, state, last.lower(), before.lower(), len(text or ""), len((text or "").encode()), brief, None, None, None))
+            digest = xxhash.xxh64_intdigest(text) - 2**63 if text else None
+            out.append(("text", i, source, state, last.lower(), before.lower(), len(text or ""), len((text or "").encode()), digest, None, None, None))
             if state == "none":
                 continue
             runs = _RUNS.findall(strip_end(text, tuple(footers or ()))[0].lower())
@@ -213,8 +215,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     few = (feet.agg(F.sum(F.size("footers"))).first()[0] or 0) <= FEW_FOOTERS
     read = docs.join(F.broadcast(feet) if few else feet, "source", "left")
     tally = materialize(read.mapInArrow(_read_texts, TALLY), "endings")
-    texts = tally.where("kind = 'text'").select("doc_id", "source", "state", "word", "before", "n_chars", "n_bytes", "brief")
-    often = texts.where("brief is not null").groupBy("brief").agg(F.count("*").alias("same")).where("same > 2")
+    texts = tally.where("kind = 'text'").select("doc_id", "source", "state", "word", "before", "n_chars", "n_bytes", "hash")
     vocabulary = materialize(tally.where("kind = 'word'").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("total", "final", "penult")]), "vocabulary")
     # the trie as a relation: every proper prefix of a word leads to it
     asked = texts.where(F.col("state").isin("item", "line")).select("word").distinct()
@@ -222,20 +223,27 @@ def truncated(docs: DataFrame) -> DataFrame:
     led = asked.join(prefixes, "word", "left_semi").withColumn("led", F.lit(True))
     known = asked.join(vocabulary, "word").select("word", "total", "final")
     prior = vocabulary.select(F.col("word").alias("before"), F.col("total").alias("b_total"), "penult")
-    open_ = texts.where(F.col("state").isin("item", "line")).join(often, "brief", "left").withColumn("same", F.coalesce("same", F.lit(1))).join(known, "word", "left").join(led, "word", "left").join(prior, "before", "left")
+    open_ = texts.where(F.col("state").isin("item", "line")).join(known, "word", "left").join(led, "word", "left").join(prior, "before", "left")
     broken = F.col("total").isNull() & F.coalesce("led", F.lit(False))
     can_end = F.when(F.col("total").isNotNull(), F.col("final") >= 0.02 * F.col("total")).otherwise(F.coalesce(F.col("penult") >= 0.05 * F.col("b_total"), F.lit(False)))
-    common = F.col("same") > 2
-    judged = open_.withColumn("broken", broken & ~common).withColumn("sound", common | (~broken & can_end))
-    judged = materialize(judged.select("doc_id", "source", "state", "n_chars", "n_bytes", "broken", "sound", "same"), "judged")
-    # where a source's texts end without full stops and yet soundly, it is one of chat messages
-    chat = judged.where("state = 'line'").groupBy("source").agg((F.avg(F.col("sound").cast("int")) >= 0.5).alias("chat"))
+    judged = open_.withColumn("broken", broken).withColumn("sound", ~broken & can_end)
+    judged = materialize(judged.select("doc_id", "source", "state", "n_chars", "n_bytes", "hash", "broken", "sound"), "judged")
+    # where a source's different texts end without full stops and yet soundly, it is one of chat messages
+    lines = judged.where("state = 'line'").groupBy("source", "hash").agg(F.max("sound").alias("sound"), F.count("*").alias("same"), F.min("n_chars").alias("n_chars"))
+    chat = lines.groupBy("source").agg((F.avg(F.col("sound").cast("int")) >= 0.5).alias("chat"))
+    # there a brief message that recurs may end in any known word
+    size = texts.groupBy("source").agg(F.count("*").alias("of"))
+    usual = lines.where((F.col("n_chars") <= BRIEF) & (F.col("same") >= REPEATS)).join(size, "source").where(F.col("same") >= REPEAT_SHARE * F.col("of")).select("source", "hash", F.lit("line").alias("state"), F.lit(True).alias("usual"))
     most = texts.groupBy("source").agg(F.max("n_chars").alias("most_chars"), F.max("n_bytes").alias("most_bytes"))
-    at = texts.join(most, "source").groupBy("source", "most_chars", "most_bytes").agg(F.count_if(F.col("n_chars") == F.col("most_chars")).alias("c"), F.count_if(F.col("n_bytes") > F.col("most_bytes") - 4).alias("b"))
+    # copies of one text say nothing of a limit, so different texts are counted
+    at = texts.join(most, "source").where((F.col("n_chars") == F.col("most_chars")) | (F.col("n_bytes") > F.col("most_bytes") - 4)).select("source", "most_chars", "most_bytes", "n_chars", "n_bytes", "hash").distinct()
+    at = at.groupBy("source", "most_chars", "most_bytes").agg(F.count_if(F.col("n_chars") == F.col("most_chars")).alias("c"), F.count_if(F.col("n_bytes") > F.col("most_bytes") - 4).alias("b"))
     limits = at.select("source", F.when(F.col("c") >= 5, F.col("most_chars")).alias("limit_chars"), F.when(F.col("b") >= 5, F.col("most_bytes")).alias("limit_bytes"))
-    of = judged.join(chat, "source", "left").join(limits, "source", "left")
+    of = judged.join(usual, ["source", "hash", "state"], "left").join(chat, "source", "left").join(limits, "source", "left")
     full = F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False)) | F.coalesce(F.col("n_bytes") > F.col("limit_bytes") - 4, F.lit(False))
-    cut = F.col("broken") | full & ~F.coalesce("chat", F.lit(False)) | (F.col("state") == "line") & ~((F.coalesce("chat", F.lit(False)) | (F.col("same") > 2)) & F.col("sound"))
+    is_chat = F.coalesce("chat", F.lit(False))
+    sound = F.col("sound") | F.coalesce("usual", F.lit(False)) & ~full
+    cut = F.col("broken") | full & ~is_chat | (F.col("state") == "line") & ~(is_chat & sound)
     decided = texts.where(~F.col("state").isin("item", "line")).select("doc_id", "source", "state", (F.col("state") == "cut").alias("cut"))
     return decided.unionByName(of.select("doc_id", "source", "state", cut.alias("cut")))
 
