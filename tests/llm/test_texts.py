@@ -179,3 +179,13 @@ def test_copies_of_a_cut_text_are_cut(spark):
     assert cut["plain", broken] == cut["chat", broken] == cut["plain", short] == cut["plain", "passt so"] == {True}
     assert cut["chat", "passt so"] == {False}
     assert all(v == {False} for (_, t), v in cut.items() if "garden" in t)
+
+
+def test_every_json_block_counts():
+    one = '{"a": [1, "b"]}'
+    for t in (one + "\n\n[{\"b\": \"It is so.\"}", one + "\n{\"b\": \"It is so.", "Intro\n\n{'a': 1}\n" + one + "\n{\"b\": [{\"c\": 1}]", f"{one}\n" * 3 + "{\"d\": {\"e\": \"x\"}"):
+        assert truncation.ending(t)[0] == "cut", t
+    for t in (f"{one}\n\nThen:\n\n{one}", f"{one}\n" * 3, one + "\n\nA full stop.", "[" * 5 + "\n" + one):
+        assert truncation.ending(t)[0] == "whole", t
+    assert truncation.ending(f"{one}\n" * 50_000 + '{"a": "It is so.')[0] == "cut"
+    assert truncation.ending('{"a":' * 50_000 + '"It is so.')[0] == "cut"

@@ -56,19 +56,15 @@ def strip_end(text: str, footers: tuple[str, ...] = ()) -> tuple[str, bool]:
             return text, marked
 
 
-def _json_open(text: str) -> bool | None:
-    """Whether the JSON that a line of the text begins breaks off; None if none begins."""
-    start = JSON_START.search(text)
-    if not start:
-        return None
-    body = text[start.end() - 1 :]
+def _json_end(text: str, at: int) -> int | None:
+    """Where the JSON that begins at a bracket ends; None if it breaks off."""
     try:
-        json.JSONDecoder().raw_decode(body)
-        return False
-    except ValueError:
+        return json.JSONDecoder().raw_decode(text, at)[1]
+    except (ValueError, RecursionError):
         depth = quoted = 0
         skip = False
-        for c in body:
+        for k in range(at, len(text)):
+            c = text[k]
             if skip:
                 skip = False
             elif c == "\\":
@@ -78,8 +74,21 @@ def _json_open(text: str) -> bool | None:
             elif not quoted:
                 depth += (c in "{[") - (c in "}]")
                 if depth == 0 and c in "}]":
-                    return False
-        return bool(quoted or depth > 0)
+                    return k + 1
+        return None
+
+
+def _json_open(text: str) -> bool | None:
+    """Whether the last JSON that a line of the text begins breaks off; None if none begins."""
+    start = JSON_START.search(text)
+    if not start:
+        return None
+    while start:
+        end = _json_end(text, start.end() - 1)
+        if end is None:
+            return True
+        start = JSON_START.search(text, end)
+    return False
 
 
 def ending(text: str | None, footers: tuple[str, ...] = ()) -> tuple[str, str, str]:
