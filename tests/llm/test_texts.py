@@ -189,3 +189,25 @@ def test_every_json_block_counts():
         assert truncation.ending(t)[0] == "whole", t
     assert truncation.ending(f"{one}\n" * 50_000 + '{"a": "It is so.')[0] == "cut"
     assert truncation.ending('{"a":' * 50_000 + '"It is so.')[0] == "cut"
+
+
+def test_limits_below_the_longest_text(spark):
+    rnd = random.Random(5)
+    nouns = ["garden", "letter", "number", "winter", "summer", "paper"]
+    sentence = lambda: f"The {rnd.choice(nouns)} near the {rnd.choice(nouns)} follows {rnd.randint(100, 999)}."
+    known = " ".join(f"The {n} of the {n} is the {n}." for n in nouns)
+    rows = [("other", known, False)] * 3 + [("once", "Some longer text that came in late. " * 20, False)]
+    for k in range(40):
+        rows.append(("once", " ".join(sentence() for _ in range(rnd.randint(1, 4))), False))
+        rows.append(("marked", " ".join(sentence() for _ in range(rnd.randint(1, 4))), False))
+        text = "- "
+        while not text[197:200].isalpha():
+            text = f"List {k + 100}:\n\n" + "\n".join(f"- {rnd.choice(nouns)} {rnd.choice(nouns)}" for _ in range(30))
+        rows.append(("once", text[:200], True))
+        rows.append(("marked", text[:200] if k % 2 else text[:193] + " garden", True))
+        rows.append(("marked", text[:200] + " [...]", True))
+        day = f"# Day {k + 100}"
+        rows.append(("other", day, False))
+    df = spark.createDataFrame([(i, s, t) for i, (s, t, _) in enumerate(rows)], "doc_id bigint, source string, text string")
+    got = {r.doc_id: r.cut for r in truncation.truncated(df).collect()}
+    assert {i for i, c in got.items() if c} == {i for i, r in enumerate(rows) if r[2]}

@@ -14,10 +14,11 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultlens.plans.runtime import materialize, read_table
@@ -152,13 +153,19 @@ def ending(text: str | None, footers: tuple[str, ...] = ()) -> tuple[str, str, s
     return ("item" if LIST.match(last) else "line"), final, before
 
 
-TALLY = "kind string, doc_id bigint, source string, state string, word string, before string, n_chars bigint, n_bytes bigint, hash bigint, total bigint, final bigint, penult bigint"
+TALLY = "kind string, doc_id bigint, source string, state string, word string, before string, n_chars bigint, n_bytes bigint, s_chars bigint, s_bytes bigint, marked boolean, hash bigint, total bigint, final bigint, penult bigint"
 #: Words a task counts before it hands the counts on.
 FLUSH = 200_000
 #: Characters of a brief message.
 BRIEF = 80
 #: A brief message that a chat source has so often, and in this share of its texts, can be all that was said.
 REPEATS, REPEAT_SHARE = 3, 0.01
+#: Lengths of a text as it stands and without what strip_end takes off.
+MEASURES = ["n_chars", "n_bytes", "s_chars", "s_bytes"]
+#: Different texts at a limit: so many, in this share of the source's, and so many times those of the NEAR lengths to either side.
+LIMIT_TEXTS, LIMIT_SHARE, OVER_FULL, NEAR = 5, 0.01, 8, 16
+#: This share of them ends in a break; at the source's longest text that is not asked.
+LIMIT_BREAKS = 0.1
 #: Footer lines up to which their table is broadcast; beyond, it is joined as the planner sees fit.
 FEW_FOOTERS = 10_000
 _RUNS = re.compile(r"([^\W_]+)([\W_]*)")
@@ -169,10 +176,10 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     finals: Counter = Counter()
     penults: Counter = Counter()
-    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("state", pa.string()), ("word", pa.string()), ("before", pa.string()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("hash", pa.int64()), ("total", pa.int64()), ("final", pa.int64()), ("penult", pa.int64())])
+    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("state", pa.string()), ("word", pa.string()), ("before", pa.string()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("s_chars", pa.int64()), ("s_bytes", pa.int64()), ("marked", pa.bool_()), ("hash", pa.int64()), ("total", pa.int64()), ("final", pa.int64()), ("penult", pa.int64())])
 
     def words() -> pa.RecordBatch:
-        rows = [("word", None, None, None, w, None, None, None, None, n, finals[w], penults[w]) for w, n in counts.items()]
+        rows = [("word", None, None, None, w, None, None, None, None, None, None, None, n, finals[w], penults[w]) for w, n in counts.items()]
         for c in (counts, finals, penults):
             c.clear()
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -181,11 +188,12 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i, source, text, footers in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "source", "text", "footers"))):
             state, last, before = ending(text, tuple(footers or ()))
+            left, marked = strip_end(text or "", tuple(footers or ()))
             digest = xxhash.xxh64_intdigest(text) - 2**63 if text else None
-            out.append(("text", i, source, state, last.lower(), before.lower(), len(text or ""), len((text or "").encode()), digest, None, None, None))
+            out.append(("text", i, source, state, last.lower(), before.lower(), len(text or ""), len((text or "").encode()), len(left), len(left.encode()), marked, digest, None, None, None))
             if state == "none":
                 continue
-            runs = _RUNS.findall(strip_end(text, tuple(footers or ()))[0].lower())
+            runs = _RUNS.findall(left.lower())
             if state != "whole" and runs:  # what stands at a doubtful end is no evidence of a word
                 runs.pop()
             ends = [not gap.isspace() and any(c in STOPS for c in gap) or "\n" in gap for _, gap in runs]
@@ -210,6 +218,38 @@ def footers(docs: DataFrame) -> DataFrame:
     return often.groupBy("source").agg(F.collect_list("line").alias("footers"))
 
 
+def limits(texts: DataFrame) -> DataFrame:
+    """Of each source the lengths at which it cuts, in each measure: source, at_ and the measure (arrays).
+
+    texts has source, hash, the measures, marked and breaks, whether a text
+    evidently breaks off. A length is a limit if it is over-full against its
+    neighbours in the source's histogram, or if the longest texts share it.
+    Copies of a text count once. A limit in bytes leaves up to three free,
+    where a character did not fit. A mark may lie within the limit, so what is
+    left before marks says nothing of texts without one and is not counted.
+    Below the longest text only texts with longer characters show that bytes
+    are limited; the others do so as well where characters are.
+    """
+    one = texts.groupBy("source", "hash").agg(*[F.min(m).alias(m) for m in MEASURES], F.max("marked").alias("marked"), F.max("breaks").alias("breaks"))
+    wide = {m: F.col(m) != F.col(m.replace("bytes", "chars")) if m.endswith("bytes") else F.lit(True) for m in MEASURES}
+    long = one.select("source", "marked", "breaks", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("n"), wide[m].alias("tells")) for m in MEASURES])))
+    long = long.where(F.col("measure").startswith("n_") | ~F.col("marked"))
+    held = long.groupBy("source", "measure", "n").agg(F.count("*").alias("c"), F.count_if("tells").alias("t"), F.count_if(F.col("tells") & F.col("breaks")).alias("b"))
+    of = Window.partitionBy("source", "measure")
+    w = of.orderBy("n")
+    in_bytes = F.col("measure").endswith("bytes")
+    over = lambda c, least, most: F.sum(c).over(w.rangeBetween(least, most))
+    here = lambda c: F.when(in_bytes, over(c, -3, 0)).otherwise(F.col(c))
+    around = F.when(in_bytes, over("t", -3 - NEAR, NEAR)).otherwise(over("t", -NEAR, NEAR)) - here("t")
+    usual = around * F.when(in_bytes, 4).otherwise(1) / (2 * NEAR)
+    held = held.withColumns({"at": here("c"), "tell": here("t"), "broke": here("b"), "usual": usual, "all": F.sum("t").over(of), "most": F.max("n").over(of)})
+    many = (F.col("tell") >= LIMIT_TEXTS) & (F.col("tell") >= LIMIT_SHARE * F.col("all")) & (F.col("tell") >= LIMIT_TEXTS - 1 + OVER_FULL * F.col("usual"))
+    # a fifth at the length itself, so that none just above a limit in bytes counts as one
+    many &= (F.col("t") >= 0.2 * F.col("tell")) & (F.col("broke") >= LIMIT_BREAKS * F.col("tell"))
+    found = held.where(many | (F.col("n") == F.col("most")) & (F.col("at") >= LIMIT_TEXTS))
+    return found.groupBy("source").agg(*[F.collect_list(F.when(F.col("measure") == m, F.col("n"))).alias(f"at_{m}") for m in MEASURES])
+
+
 def truncated(docs: DataFrame) -> DataFrame:
     """doc_id, source, state and cut of each text.
 
@@ -224,7 +264,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     few = (feet.agg(F.sum(F.size("footers"))).first()[0] or 0) <= FEW_FOOTERS
     read = docs.join(F.broadcast(feet) if few else feet, "source", "left")
     tally = materialize(read.mapInArrow(_read_texts, TALLY), "endings")
-    texts = tally.where("kind = 'text'").select("doc_id", "source", "state", "word", "before", "n_chars", "n_bytes", "hash")
+    texts = tally.where("kind = 'text'").select("doc_id", "source", "state", "word", "before", *MEASURES, "marked", "hash")
     vocabulary = materialize(tally.where("kind = 'word'").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("total", "final", "penult")]), "vocabulary")
     # the trie as a relation: every proper prefix of a word leads to it
     asked = texts.where(F.col("state").isin("item", "line")).select("word").distinct()
@@ -236,20 +276,18 @@ def truncated(docs: DataFrame) -> DataFrame:
     broken = F.col("total").isNull() & F.coalesce("led", F.lit(False))
     can_end = F.when(F.col("total").isNotNull(), F.col("final") >= 0.02 * F.col("total")).otherwise(F.coalesce(F.col("penult") >= 0.05 * F.col("b_total"), F.lit(False)))
     judged = open_.withColumn("broken", broken).withColumn("sound", ~broken & can_end)
-    judged = materialize(judged.select("doc_id", "source", "state", "n_chars", "n_bytes", "hash", "broken", "sound"), "judged")
+    judged = materialize(judged.select("doc_id", "source", "state", *MEASURES, "marked", "hash", "broken", "sound"), "judged")
     # where a source's different texts end without full stops and yet soundly, it is one of chat messages
     lines = judged.where("state = 'line'").groupBy("source", "hash").agg(F.max("sound").alias("sound"), F.count("*").alias("same"), F.min("n_chars").alias("n_chars"))
     chat = lines.groupBy("source").agg((F.avg(F.col("sound").cast("int")) >= 0.5).alias("chat"))
     # there a brief message that recurs may end in any known word
     size = texts.groupBy("source").agg(F.count("*").alias("of"))
     usual = lines.where((F.col("n_chars") <= BRIEF) & (F.col("same") >= REPEATS)).join(size, "source").where(F.col("same") >= REPEAT_SHARE * F.col("of")).select("source", "hash", F.lit("line").alias("state"), F.lit(True).alias("usual"))
-    most = texts.groupBy("source").agg(F.max("n_chars").alias("most_chars"), F.max("n_bytes").alias("most_bytes"))
-    # copies of one text say nothing of a limit, so different texts are counted
-    at = texts.join(most, "source").where((F.col("n_chars") == F.col("most_chars")) | (F.col("n_bytes") > F.col("most_bytes") - 4)).select("source", "most_chars", "most_bytes", "n_chars", "n_bytes", "hash").distinct()
-    at = at.groupBy("source", "most_chars", "most_bytes").agg(F.count_if(F.col("n_chars") == F.col("most_chars")).alias("c"), F.count_if(F.col("n_bytes") > F.col("most_bytes") - 4).alias("b"))
-    limits = at.select("source", F.when(F.col("c") >= 5, F.col("most_chars")).alias("limit_chars"), F.when(F.col("b") >= 5, F.col("most_bytes")).alias("limit_bytes"))
-    of = judged.join(usual, ["source", "hash", "state"], "left").join(chat, "source", "left").join(limits, "source", "left")
-    full = F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False)) | F.coalesce(F.col("n_bytes") > F.col("limit_bytes") - 4, F.lit(False))
+    ends = texts.where(F.col("state").isin("whole", "cut")).select("source", "hash", *MEASURES, "marked", (F.col("state") == "cut").alias("breaks"))
+    ends = ends.unionByName(judged.select("source", "hash", *MEASURES, "marked", (F.col("broken") | (F.col("state") == "line") & ~F.col("sound")).alias("breaks")))
+    of = judged.join(usual, ["source", "hash", "state"], "left").join(chat, "source", "left").join(limits(ends), "source", "left")
+    reach = lambda m: F.array_contains(f"at_{m}", F.col(m)) if m.endswith("chars") else F.exists(f"at_{m}", lambda n: (F.col(m) <= n) & (F.col(m) > n - 4))
+    full = reduce(Column.__or__, [F.coalesce(reach(m), F.lit(False)) for m in MEASURES])
     is_chat = F.coalesce("chat", F.lit(False))
     sound = F.col("sound") | F.coalesce("usual", F.lit(False)) & ~full
     cut = F.col("broken") | full & ~is_chat | (F.col("state") == "line") & ~(is_chat & sound)
