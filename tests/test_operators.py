@@ -182,6 +182,26 @@ def test_nearby_and_related(spark):
     assert got == pytest.approx({t: s for t, s in want.items() if s >= 0.3}) and len(got) >= 2
 
 
+def test_nearest_is_nearby_of_all(spark):
+    import random
+
+    rnd = random.Random(4)
+    words = ["alpha", "bravo", "delta", "gamma", "omega", "sigma", "theta", "kappa", "zeta", "lambda", "epsilon", "omicron", "upsilon"]
+    rows = [note(i, " ".join(rnd.sample(words, rnd.choice([0, 1, 1, 2, 3, 5, 9, 10, 12]))), source=rnd.choice(["", "s", "t", "u\nx"])) for i in range(160)]
+    df = notes(spark, *rows)
+    for t in (df, df.where("note_id % 7 = 0")):
+        assert sorted(map(tuple, sim.nearest(df, t).collect())) == sorted(map(tuple, sim.nearby(df, t).collect()))
+
+
+def test_enrichment_names_the_nearest_notes(spark):
+    from vaultlens.plans import catalog
+
+    df = notes(spark, note(1, "Deep ideas", source="s", body="w", links=["Zed"]), note(2, "Registry ideas", source="s", kind="moc"), note(3, "Other words", source="s", kind="moc"), note(4, "Ideas", kind="moc"), note(5, "nothing", body="w"))
+    got = {r.note_id: r.content for r in catalog.enriched(df).collect()}
+    assert got.keys() == {1, 5} and "[[Registry ideas]], [[Other words]], [[Ideas]]" in got[1] and "Zed" not in got[1]
+    assert "no neighbours" in got[5]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), min_size=1, max_size=20))
 def test_components(spark, edges):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from vaultlens.functions import text as T
-from vaultlens.plans.runtime import salts
+from vaultlens.plans.runtime import materialize, salts
 
 #: Weights of title, tags and title tokens.
 DEDUP, AUDIT = (0.5, 0.3, 0.2), (0.7, 0.3, 0.0)
@@ -184,6 +184,43 @@ def nearby(notes: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
     return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("target", "title", "score", "place")
 
 
+#: Title tokens up to which all their combinations are join keys; pairs with a longer title meet by single ones.
+COMBINED = 9
+
+
+def nearest(notes: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
+    """The rows of nearby for any number of targets, which are notes too.
+
+    Of the notes that have all of a combination of tokens and source, only the
+    first k + 1 by title can be among the k nearest of a target that shares
+    just this combination: the others share it too and come later. So the work
+    follows the combinations of the titles, not the pairs that share a token.
+    """
+    tokens = F.array_sort(T.title_tokens("title", 4))
+    n = materialize(notes.select("note_id", "title", "source_doc", tokens.alias("tokens")), "near-notes")
+    t = targets.select(F.col("note_id").alias("target")).join(n.withColumnRenamed("note_id", "target"), "target")
+    short = F.size("tokens") <= COMBINED
+    each = F.aggregate("tokens", F.array(F.lit("")), lambda acc, x: F.concat(acc, F.transform(acc, lambda y: F.concat(y, F.lit("\n"), x))))
+    score = lambda c: F.size(F.split(c, "\n")) - 1
+    plain = F.transform(each, lambda c: F.struct(c.alias("key"), score(c).alias("score")))
+    sourced = F.transform(each, lambda c: F.struct(F.concat(c, F.lit("\n#"), "source_doc").alias("key"), (score(c) + 3).alias("score")))
+    combined = F.filter(F.when(F.col("source_doc") != "", F.concat(plain, sourced)).otherwise(plain), lambda c: c["score"] > 0)
+    first = Window.partitionBy("key").orderBy("title", "note")
+    of = n.where(short).select(F.col("note_id").alias("note"), "title", F.inline(combined)).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
+    met = t.where(short).select("target", F.inline(combined)).join(of.select("key", "note", "title"), "key").where("note <> target").select("target", "note", "title", "score")
+    # a note or a target with a long title
+    one = lambda df: df.withColumn("key", F.explode(_related_keys(F.col("source_doc"), F.col("title"), [""])))
+    other = n.select(F.col("note_id").alias("note"), "title", "source_doc", "tokens")
+    worth = F.sum(F.when(F.col("key").startswith("#"), 3).otherwise(1)).cast("int").alias("score")
+    long = [(t.where(~short), other), (t.where(short), other.where(~short))]
+    for a, b in long:
+        by = one(a).select("target", "key").join(one(b).select("note", "title", "key"), "key").where("note <> target")
+        met = met.unionByName(by.groupBy("target", "note", "title").agg(worth))
+    best = met.repartition("target").groupBy("target", "note", "title").agg(F.max("score").cast("bigint").alias("score"))
+    w = Window.partitionBy("target").orderBy(F.desc("score"), "title", "note")
+    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("target", "title", "score", "place")
+
+
 def related(notes: DataFrame, targets: DataFrame, *, threshold: float = 0.34, k: int = 3) -> DataFrame:
     """target, title, score, place: the k notes most related to each target.
 

@@ -117,9 +117,17 @@ def related_sections(spark, d: str) -> DataFrame:
 
 
 def enrichment(spark, d: str) -> DataFrame:
-    n = tables.notes(spark, d).where(audit.is_thin())
-    block = rewrite.enrichment_paragraphs(F.col("title"), F.slice(F.array_sort("links"), 1, 3), {"registry": ["A registry keeps what was done.", "Compare [[{0}]] and [[{1}]]."]})
-    return n.select("note_id", rewrite.append_enrichment(F.col("body"), block).alias("content"))
+    return enriched(tables.notes(spark, d))
+
+
+def enriched(notes: DataFrame) -> DataFrame:
+    """note_id and content of the thin notes with a block that names the three notes nearest to each."""
+    n = materialize(notes, "notes")
+    thin = n.where(audit.is_thin())
+    near = sim.nearest(n, thin).groupBy("target").agg(F.array_sort(F.collect_list(F.struct("place", "title"))).getField("title").alias("near"))
+    j = thin.join(near, F.col("note_id") == F.col("target"), "left")
+    block = rewrite.enrichment_paragraphs(F.col("title"), F.coalesce("near", F.array().cast("array<string>")), {"registry": ["A registry keeps what was done.", "Compare [[{0}]] and [[{1}]]."]})
+    return j.select("note_id", rewrite.append_enrichment(F.col("body"), block).alias("content"))
 
 
 def relinked(spark, d: str) -> DataFrame:
