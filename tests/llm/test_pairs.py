@@ -182,3 +182,17 @@ def test_canonical_fields(spark):
     sources = spark.createDataFrame([("s1", 9), ("S2", 3)], "source_doc string, trust int")
     v = consensus.member_values(groups, notes, sources)
     assert {tuple(r) for r in consensus.representatives(v).collect()} == {(1, "title", 3), (1, "tags", 2), (1, "body", 2)}
+
+
+def test_summed_vote_has_no_switch_by_size(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "FAN_IN", 4)
+    monkeypatch.setattr(consensus, "MAX_CELLS", 4)
+    v = ["q a b c d e r".split(), "s q a b c d e".split(), "a b c d e u".split()]
+    assert consensus.consensus(v, [(1,)] * 3, summed=True) == "q a b c d e u".split()  # r, u and the gap have one vote each
+    assert consensus.distance("x a b c d".split(), "a b c d y".split()) == pytest.approx(0.2)
+    rnd = random.Random(6)
+    rows = [(g, "t", m, [rnd.choice("ab"), rnd.choice("cd"), rnd.choice("ef"), *"xyz"[: rnd.randint(0, 3)]], rnd.randint(1, 3), 0) for g in range(12) for m in range(30)]
+    df = spark.createDataFrame(rows, "group bigint, field string, member bigint, tokens array<string>, w1 bigint, w2 bigint")
+    of = [[r for r in rows if r[0] == g] for g in range(12)]
+    want = {g: consensus.closest([r[2] for r in x], [r[3] for r in x], [r[4:] for r in x], summed=True) for g, x in enumerate(of)}
+    assert {r.group: r.member for r in consensus.representatives(df, summed=True).collect()} == want
