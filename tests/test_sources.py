@@ -146,3 +146,16 @@ def test_merge_plan(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "Notes")) == ["A.md", "C.md"] and (tmp_path / "Notes/A.md").read_text().endswith('source_doc: "s"\nnote_type: atomic\n---\n\nmerged\n')
     assert sorted(os.listdir(tmp_path / ".archive")) == ["2025-01-01_dedup_A.md", "2025-01-01_dedup_B.md"]
     assert {tuple(r) for r in apply.title_map(groups, notes).collect()} == {("A", "A"), ("B", "A")}
+
+
+def test_command_line_writes_scan_registry_and_links_whole(spark, tmp_path, monkeypatch, capsys):
+    from vaultlens import __main__ as cli
+    from vaultlens.plans import session
+
+    for i in range(30):
+        (tmp_path / f"n{i:02}.md").write_text(f"---\nnote_type: atomic\nsource_doc: s{i:02}\n---\n# T{i}\n[[missing {i}]]\n")
+    monkeypatch.setattr(session, "local_session", lambda *a, **k: spark)
+    for command, section, n in (("scan", "titles", 30), ("registry", "sources", 30), ("links", "unresolved", 30), ("audit", "findings", 7)):
+        monkeypatch.setattr("sys.argv", ["vaultlens", command, str(tmp_path), "--limit", "7"])
+        cli.main()
+        assert len(json.loads(capsys.readouterr().out)[section]) == n, command

@@ -12,7 +12,7 @@ def main() -> None:
     p = argparse.ArgumentParser(prog="vaultlens")
     p.add_argument("command", choices=["audit", "scan", "registry", "dedup", "links"])
     p.add_argument("vault")
-    p.add_argument("--limit", type=int, default=25, help="rows shown of each section")
+    p.add_argument("--limit", type=int, default=25, help="rows shown of each section of an audit; other commands write all")
     p.add_argument("--min-words", type=int, default=80)
     p.add_argument("--threshold", type=float)
     p.add_argument("--folder", default="")
@@ -27,25 +27,25 @@ def main() -> None:
     files = vault.read_vault(spark, a.vault, folder=a.folder)
     notes = (vault.lenient_notes if a.command == "dedup" else vault.strict_notes)(files).withColumn("note_id", F.xxhash64("rel_path"))
 
-    def top(df, *order) -> list:
-        return [r.asDict() for r in df.orderBy(*order).limit(a.limit).collect()]
+    def rows(df, *order) -> list:
+        return [r.asDict() for r in df.orderBy(*order).collect()]
 
     if a.command == "audit":
-        out = {"summary": audit.audit_summary(notes, a.min_words).first().asDict(), "findings": top(audit.audit(notes, a.min_words), "finding", "title")}
+        out = {"summary": audit.audit_summary(notes, a.min_words).first().asDict(), "findings": [r.asDict() for r in audit.audit(notes, a.min_words).orderBy("finding", "title").limit(a.limit).collect()]}
         live = notes.where("note_type <> 'moc'")
         pairs = similarity.without_linked(similarity.similar_pairs(live, similarity.AUDIT, a.threshold or 0.72), live)
         out["similar"] = [{"a": r.title_a, "b": r.title_b, "score": round(r.score, 3)} for r in similarity.top_pairs(pairs, a.limit).collect()]
     elif a.command == "scan":
-        out = {"titles": top(notes.select("folder", "stem"), "folder", "stem")}
+        out = {"titles": rows(notes.select("folder", "stem"), "folder", "stem")}
     elif a.command == "registry":
-        out = {"sources": top(registry.rebuild(notes.withColumn("path", F.col("rel_path"))), "source_doc")}
+        out = {"sources": rows(registry.rebuild(notes.withColumn("path", F.col("rel_path"))), "source_doc")}
     elif a.command == "links":
-        out = {"unresolved": top(audit.unresolved_links(notes), "src_id", "dst_title")}
+        out = {"unresolved": rows(audit.unresolved_links(notes), "src_id", "dst_title")}
     else:
         pairs = materialize(similarity.similar_pairs(notes, similarity.DEDUP, a.threshold or 0.55), "pairs")
         names = notes.select("note_id", "rel_path")
         g = graph.candidate_groups(pairs).join(names.toDF("a", "path_a"), "a").join(names.toDF("b", "path_b"), "b")
-        out = {"groups": top(g.select("group_key", "path_a", "path_b", F.round("score", 3).alias("score")), "group_key", "path_a", "path_b")}
+        out = {"groups": rows(g.select("group_key", "path_a", "path_b", F.round("score", 3).alias("score")), "group_key", "path_a", "path_b")}
     print(json.dumps(out, ensure_ascii=False, indent=2, default=str))
 
 
