@@ -1,10 +1,10 @@
 """All similar pairs between set-valued records (problem 3).
 
-Pivots are sets of one or two values. Under Jaccard distance the nearest pivots of a
-record are those it contains; the ones of its rarest values come first. A record is entered in the cells of as many of them as the
-bound on the symmetric difference of two similar records asks for, so that any
-two similar records meet in a cell, and the cells are joined exactly. Pivots
-that are records themselves are no use here: see the README for figures.
+Records meet under values they contain, the rarest first: of each as many as the
+bound on the symmetric difference of two similar records demands, so that any
+two similar ones share one, and are compared exactly (see setjoin). These are
+not the pivots of a metric partitioning, in which nearly every record would
+have to be entered in nearly every cell: see the README for figures.
 """
 
 from __future__ import annotations
