@@ -124,55 +124,101 @@ def test_near_copies(spark):
     assert len(got) == len(set(got)) and set(got) == brute_copies(texts) and (203, 204) in got
 
 
-TOKENS = st.lists(st.sampled_from("abcde"), max_size=8)
+TOKENS = st.lists(st.sampled_from("abcde"), max_size=12)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(TOKENS, min_size=1, max_size=6), st.data())
-def test_consensus_of_orders_is_the_strongest_value(values, data):
-    weights = data.draw(st.permutations(range(len(values))))
-    assert consensus.consensus(values, [(w,) for w in weights]) == values[max(range(len(values)), key=lambda k: weights[k])]
+@settings(max_examples=300, deadline=None)
+@given(TOKENS, TOKENS)
+def test_alignment(base, value):
+    """Partners are equal and rise in both; base becomes the value where all its votes win."""
+    got = consensus.aligned(base, value)
+    assert all(base[i] == value[j] for i, j in got) and all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:]))
+    assert consensus.patched(base, consensus.votes(base, value)) == value
+    assert consensus.votes(base, base) == [] and consensus.distance(value, value) == 0.0
 
 
-def test_consensus_votes():
-    v = ["a b c d".split(), "a b x d".split(), "a b c d e".split(), "b c d".split()]
-    assert consensus.consensus(v, [(1,)] * 4, summed=True) == "a b c d".split()
-    assert consensus.closest([7, 5, 9, 4], v, [(1, 0)] * 4, summed=True) == 7
-    assert consensus.consensus([["x"], ["y"], ["y"]], [(3,), (1,), (1,)], summed=True) == ["x"]
+def test_votes():
+    base = "a b c d".split()
+    assert consensus.votes(base, "a x c d".split()) == [(1, 0, "x")]
+    assert consensus.votes(base, "a c d".split()) == [(1, 0, None)]
+    assert consensus.votes(base, "z a b c d e f".split()) == [(-1, 1, "z"), (3, 1, "e"), (3, 2, "f")]
+    assert consensus.votes([], ["x"]) == [(-1, 1, "x")] and consensus.votes(["x"], []) == [(0, 0, None)]
     assert consensus.distance(["a"], ["b"]) == 1.0 and consensus.distance([], []) == 0.0
+    assert consensus.distance("x a b c d".split(), "a b c d y".split()) == pytest.approx(0.2)
 
 
 def test_long_values_are_aligned_in_time():
     a, b = ["w"] * 40_000 + ["x"] + ["w"] * 40_000, ["w"] * 40_001 + ["y"] * 30_000 + ["w"] * 9_000
-    assert consensus.consensus([a, b], [(2,), (1,)]) == a and consensus.consensus([a, b], [(1,), (2,)]) == b
-    assert consensus.closest([1, 2], [a, b], [(1, 0), (2, 0)]) == 2
-
-
-def test_representatives(spark, monkeypatch):
-    rows = [(1, "t", 10, 5, 1, ["a"]), (1, "t", 9, 5, 1, ["b"]), (1, "t", 8, 4, 9, ["c"]), (1, "t", 9, 5, 1, ["b"]), (2, "t", 3, None, None, ["z"]), (3, "t", 3, 1, 1, None), (4, "t", 3, 1, 1, [])]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "group bigint, field string, member bigint, w1 bigint, w2 bigint, tokens array<string>, of string")
-    assert {tuple(r) for r in consensus.representatives(df).collect()} == {(1, "t", 9), (2, "t", 3)}
+    assert consensus.patched(a, consensus.votes(a, b)) == b and 0 < consensus.distance(a, b) < 0.5
+    c, d = [f"w{k}" for k in range(60_000)], [f"w{k}" for k in range(59_999, -1, -1)]
+    assert consensus.patched(c, consensus.votes(c, d)) == d
+
+
+def voted(rows, ordered):
+    """The winners of one group by plain sums: rows of (member, tokens, w, o1, o2)."""
+    order = lambda r: (-r[3], -r[4], r[0])
+    weight = defaultdict(int)
+    for r in rows:
+        weight[tuple(r[1])] += r[2]
+    first = {v: min((r for r in rows if tuple(r[1]) == v), key=order) for v in weight}
+    rank = lambda v: order(first[v]) if ordered else (-weight[v], *order(first[v]))
+    base = list(min(weight, key=rank))
+    total = sum(weight.values())
+    columns = defaultdict(lambda: defaultdict(int))
+    for v, w in weight.items():
+        for p, n, t in consensus.votes(base, list(v)):
+            columns[p, n][t] += w
+    won = []
+    for (p, n), by in columns.items():
+        top = max(by, key=lambda t: (by[t], t is not None, t or ""))
+        if by[top] > total * (2 if ordered else 1) - sum(by.values()):
+            won.append((p, n, top))
+    agreed = consensus.patched(base, won)
+    return first[min(weight, key=lambda v: (consensus.distance(list(v), agreed), -weight[v] if won else rank(v), order(first[v])))][0]
+
+
+VALUES = "group bigint, field string, member bigint, value string, w bigint, o1 bigint, o2 bigint"
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_votes_of_groups(spark, ordered):
+    """Small groups and one of many values, against plain sums."""
+    rnd = random.Random(6)
+    rows = []
+    for g in range(25):
+        true = [rnd.choice("abcdef") for _ in range(rnd.randint(1, 9))]
+        for m in range(rnd.randint(1, 7) if g else 400):
+            v = [t for t in true if rnd.random() < 0.85]
+            for _ in range(rnd.randint(0, 2)):
+                v.insert(rnd.randint(0, len(v)), rnd.choice("xyz"))
+            if v:
+                rows.append((g, "t", m, v, rnd.randint(1, 3), rnd.randint(0, 2), rnd.randint(0, 2)))
+    df = spark.createDataFrame([(*r[:3], "\n".join(r[3]), *r[4:]) for r in rows], VALUES)
+    got = {r.group: r.member for r in consensus.representatives(df, ordered=ordered).collect()}
+    assert got == {g: voted([r[2:] for r in rows if r[0] == g], ordered) for g in {r[0] for r in rows}}
+    if ordered:
+        strongest = {g: min((r for r in rows if r[0] == g), key=lambda r: (-r[5], -r[6], r[2])) for g in got}
+        assert got == {g: r[2] for g, r in strongest.items()}
+
+
+def test_consensus_differs_from_the_strongest(spark):
+    v = ["a b c d", "a b x d", "a b c d e", "b c d"]
+    rows = [(1, "t", m, "\n".join(x.split()), w, w, 0) for m, x, w in zip((7, 5, 9, 4), v, (1, 3, 1, 1))]
+    df = spark.createDataFrame(rows, VALUES)
+    # a, b and d of the leading value hold; x has 3 of 6 votes, c has as many: a tie, which the leading one wins
+    assert [r.member for r in consensus.representatives(df).collect()] == [5]
+    more = spark.createDataFrame([*rows, (1, "t", 8, "a\nb\nc\nd\nf", 1, 0, 0)], VALUES)
+    assert [r.member for r in consensus.representatives(more).collect()] == [7]
+    assert [r.member for r in consensus.representatives(more, ordered=True).collect()] == [5]
+
+
+def test_representatives(spark):
+    rows = [(1, "t", 10, "a", 1, 5, 1), (1, "t", 9, "b", 1, 5, 1), (1, "t", 8, "c", 1, 4, 9), (1, "t", 9, "b", 1, 5, 1), (2, "t", 3, "z", None, None, None), (3, "t", 3, None, 1, 1, 1), (4, "t", 3, "", 1, 1, 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], VALUES + ", best string")
+    assert {tuple(r) for r in consensus.representatives(df, ordered=True).collect()} == {(1, "t", 9), (2, "t", 3)}
     assert consensus.representatives(df.limit(0)).collect() == []
 
 
-def test_large_groups_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(consensus, "FAN_IN", 6)
-    rnd = random.Random(1)
-    rows, best = [], defaultdict(lambda: (-1, -1, 0))
-    for g in range(3):
-        for m in range(70 if g else 4):
-            w = (rnd.randint(0, 9), rnd.randint(0, 3))
-            rows.append((g, "t", m, *w, [rnd.choice("abc") for _ in range(3)]))
-            if (*w, -m) > (*best[g][:2], -best[g][2]) or g not in best:
-                best[g] = (*w, m)
-    df = spark.createDataFrame(rows, "group bigint, field string, member bigint, w1 bigint, w2 bigint, tokens array<string>")
-    value = {(r[0], r[2]): r[5] for r in rows}
-    for r in consensus.representatives(df).collect():
-        w1, w2, m = best[r.group]
-        assert value[r.group, r.member] == value[r.group, m]
-        assert r.member == min((x[2] for x in rows if x[0] == r.group and x[5] == value[r.group, m] and (x[3], x[4]) == (w1, w2)))
-
-
 def test_canonical_fields(spark):
     groups = spark.createDataFrame([(1, [1, 2, 2, None, 3], [], True, 2), (1, [8, 9], [], True, 1), (2, [1, None], [], True, 1), (3, [1, 2], [], False, 1), (4, [77, 78], [], True, 1)], "group_id bigint, notes array<bigint>, pairs array<struct<a bigint, b bigint, score double>>, is_duplicate boolean, verified_at int")
     notes = spark.createDataFrame(
@@ -181,18 +227,4 @@ def test_canonical_fields(spark):
     ).selectExpr("*", "timestamp_ntz '2025-01-01 00:00:00' + make_interval(0,0,0,updated) as updated_at")
     sources = spark.createDataFrame([("s1", 9), ("S2", 3)], "source_doc string, trust int")
     v = consensus.member_values(groups, notes, sources)
-    assert {tuple(r) for r in consensus.representatives(v).collect()} == {(1, "title", 3), (1, "tags", 2), (1, "body", 2)}
-
-
-def test_summed_vote_has_no_switch_by_size(spark, monkeypatch):
-    monkeypatch.setattr(consensus, "FAN_IN", 4)
-    monkeypatch.setattr(consensus, "MAX_CELLS", 4)
-    v = ["q a b c d e r".split(), "s q a b c d e".split(), "a b c d e u".split()]
-    assert consensus.consensus(v, [(1,)] * 3, summed=True) == "q a b c d e u".split()  # r, u and the gap have one vote each
-    assert consensus.distance("x a b c d".split(), "a b c d y".split()) == pytest.approx(0.2)
-    rnd = random.Random(6)
-    rows = [(g, "t", m, [rnd.choice("ab"), rnd.choice("cd"), rnd.choice("ef"), *"xyz"[: rnd.randint(0, 3)]], rnd.randint(1, 3), 0) for g in range(12) for m in range(30)]
-    df = spark.createDataFrame(rows, "group bigint, field string, member bigint, tokens array<string>, w1 bigint, w2 bigint")
-    of = [[r for r in rows if r[0] == g] for g in range(12)]
-    want = {g: consensus.closest([r[2] for r in x], [r[3] for r in x], [r[4:] for r in x], summed=True) for g, x in enumerate(of)}
-    assert {r.group: r.member for r in consensus.representatives(df, summed=True).collect()} == want
+    assert {tuple(r) for r in consensus.representatives(v, ordered=True).collect()} == {(1, "title", 3), (1, "tags", 2), (1, "body", 2)}

@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "p1_found": components.p1_found,
         "p2_found": consensus.p2_found,
+        "p2_consensus": consensus.p2_consensus,
         "p2_records": consensus.p2_records,
         "p3_found": overlap.p3_found,
         "p4_found": nearcopies.p4_found,
@@ -28,9 +29,9 @@ def queries() -> dict:
 _CONFIRMED = f"select * from {S.counting('candidate_groups', 'group_id', 'verified_at')} where is_duplicate"
 
 
-def _quoted(values: list[str]) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
+#: Written out here, so that a stand-in missing from the operator's lists shows.
+_NO_TITLE = "'untitled', 'untitled note', 'no title', 'new note', 'n/a', 'na', 'tbd', 'todo', 'none', 'null', 'unknown', 'без названия', 'новая заметка', 'ohne titel', 'unbenannt', 'neue notiz', 'sin título', 'sin titulo', 'nueva nota', 'sans titre', 'nouvelle note'"
+_NO_TAG = "'untagged', 'no tag', 'no tags', 'none', 'null', 'n/a', 'na', 'tbd', 'todo', 'unknown', 'uncategorized', 'uncategorised'"
 
 _NEAR = f"""
 with n as {S.counting('vault_notes', 'note_id', 'updated_at')},
@@ -60,8 +61,8 @@ t as (select lower({S.strip('source_doc')}) s, max(trust) trust from source_regi
 n as (select n.*, coalesce(trust, 0) trust from {S.counting('vault_notes', 'note_id', 'updated_at')} n left join t on t.s = lower({S.strip('source_doc')})),
 c as (
   select group_id, m2.note_id, trust, updated_at,
-    regexp_matches(title, '[\\p{{L}}\\p{{N}}]') and regexp_replace({S.title_key('title')}, ' ?(?:\\(\\d+\\)|\\d+)$', '') not in ({_quoted(consensus.STAND_IN_TITLES)}) has_title,
-    len(list_filter(list_transform(tags, lambda x: lower(regexp_replace(x, '^(?:{S.WS}|#)+|{S.WS}+$', '', 'g'))), lambda x: x is not null and regexp_matches(x, '[\\p{{L}}\\p{{N}}]') and x not in ({_quoted(consensus.STAND_IN_TAGS)}))) > 0 has_tags,
+    regexp_matches(title, '[\\p{{L}}\\p{{N}}]') and regexp_replace({S.title_key('title')}, ' ?(?:\\(\\d+\\)|\\d+)$', '') not in ({_NO_TITLE}) has_title,
+    len(list_filter(list_transform(tags, lambda x: lower(regexp_replace(x, '^(?:{S.WS}|#)+|{S.WS}+$', '', 'g'))), lambda x: x is not null and regexp_matches(x, '[\\p{{L}}\\p{{N}}]') and x not in ({_NO_TAG}))) > 0 has_tags,
     len(regexp_extract_all(array_to_string(list_distinct(list_transform(regexp_split_to_array(body, '\\n{S.WS}*\\n'), lambda x: {S.strip('x')})), ' '), '{S.NOT_WS}+')) words
   from m2 join n on n.note_id = m2.note_id)
 select group_id, 'title' field, note_id from c where has_title qualify row_number() over (partition by group_id order by trust desc, updated_at desc, note_id) = 1
