@@ -23,7 +23,7 @@ from vaultlens.plans.runtime import counting_rows, materialize, read_table
 _WORD = re.compile(r"[^\W_]+|\0")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Words of the parity maps by which chance meetings are told.
-MAP_WORDS = 4
+MAP_WORDS = 8
 
 
 def word_runs(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
