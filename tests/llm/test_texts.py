@@ -119,6 +119,30 @@ def test_buckets_minimise_padding():
         assert pad(packing.bucket_bounds(lengths, counts, k).tolist()) == best
 
 
+def test_buckets_minimise_padding_of_many_lengths():
+    import numpy as np
+
+    rnd = random.Random(8)
+    for k in (3, 7, 20):
+        lengths = np.array(sorted(rnd.sample(range(1, 400), 60)))
+        counts = np.array([rnd.randint(1, 50) for _ in lengths])
+        cost = lambda i, j: sum(int(c) * int(lengths[j - 1] - x) for x, c in zip(lengths[i:j], counts[i:j]))  # noqa: E731, B023
+        table = {(i, j): cost(i, j) for j in range(61) for i in range(j)}
+        best = {0: 0}
+        for _ in range(k):
+            best = {0: 0} | {j: min(best[i] + table[i, j] for i in range(j) if i in best) for j in range(1, 61)}
+        b = packing.bucket_bounds(lengths, counts, k)
+        assert len(b) <= k and sum(int(c) * int(b[np.searchsorted(b, x)] - x) for x, c in zip(lengths, counts)) == best[60]
+
+
+def test_packing_inside_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PER_SALT", 40)
+    rnd = random.Random(4)
+    lengths = [rnd.randint(1, 70) for _ in range(900)] + [200]
+    check_packing(spark, lengths, {"s": 64, "w": 100}, buckets=6, mixed=False)
+    check_packing(spark, lengths, {"s": 64, "w": 100}, buckets=6)
+
+
 WHOLE = ["A full stop.", "Really?", '"Quoted."', "- item Alpha\n- item Beta", "#a/b #c/d", "See [[Link name]]", "Text.\n\n— Name", "Text.\n\nSource: x/page/12", "```\ncode\n```", '{"a": [1, "b"]}', "Intro\n\n{\n  \"a\": 1\n}", "| a | b |\n|---|---|\n| 1 | 2 |", "Fine. 📎", "."]
 CUT = ["Some words that st", "See [[Link na", "Text.\n\n```\ncode", '{"a": [1, "b', "| a | b |\n|---|---|\n| 1 |", "One, two,", "A sentence and t…", "A sentence and t...", "A sentence and [...]", "The word is (this", "Intro\n\n{\n  \"a\": 1,", "bad �"]
 

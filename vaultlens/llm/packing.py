@@ -2,44 +2,68 @@
 
 The global histogram of lengths, which capacity bounds, is all the driver sees.
 Dynamic programming over it chooses the bucket boundaries that minimise the
-padding from an item's length to its bucket's boundary. Batches are then
-formed under the token budget of a container: a batch is opened by the longest
-bucket left and its remaining budget goes to the longest buckets that still
-fit, all as counts per bucket. A batch is repeated as often as the counts
-allow, so a plan has few kinds of batch however many items there are. An
-item's rank in its bucket finally names its container.
+padding from an item's length to its bucket's boundary. Batches are formed
+under the token budget of a container, as counts per bucket: either inside
+each bucket alone, or, to leave less room, opened by the longest bucket left and
+filled up from the longest buckets that still fit. A batch is repeated as often
+as the counts allow, so a plan has few kinds of batch however many items there
+are. An item's rank in its bucket finally names its container.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultlens.llm.tokenize import token_counts
-from vaultlens.plans.runtime import materialize, read_table, salts
+from vaultlens.plans.runtime import materialize, read_table
 
 #: Buckets per capacity.
 BUCKETS = 128
 
 
+#: Items of a bucket that one task ranks.
+PER_SALT = 100_000
+
+
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
-    """Upper bounds of at most so many buckets with the least padding; lengths ascend."""
+    """Upper bounds of at most so many buckets with the least padding; lengths ascend.
+
+    The best place of a boundary never moves down as the last length grows, so
+    each bucket takes the time of sorting: the middle lengths of all open
+    ranges are decided together, then the halves to either side.
+    """
     m = len(lengths)
     if m <= buckets:
         return lengths
+    top = np.concatenate(([0.0], lengths.astype(np.float64)))
     n = np.concatenate(([0.0], np.cumsum(counts, dtype=np.float64)))
     s = np.concatenate(([0.0], np.cumsum(counts.astype(np.float64) * lengths)))
     best = np.full(m + 1, np.inf)
     best[0] = 0.0
-    came = np.zeros((buckets, m + 1), np.int32)
-    ahead = np.tril(np.ones((m, m + 1), bool))  # row j - 1 may follow any i < j
+    came = np.zeros((buckets, m + 1), np.int64)
     for k in range(buckets):
-        cost = np.where(ahead, (best + s)[None, :] - lengths[:, None] * n[None, :], np.inf)
-        came[k, 1:] = cost.argmin(axis=1)
         now = np.full(m + 1, np.inf)
-        now[1:] = cost[np.arange(m), came[k, 1:]] + lengths * n[1:] - s[1:]
-        best = np.minimum(now, np.inf)
+        now[0] = 0.0
+        lo, hi, least, most = (np.array([x]) for x in (1, m, 0, m - 1))
+        while len(lo):
+            mid = (lo + hi) // 2
+            width = np.minimum(mid - 1, most) - least + 1
+            first = np.cumsum(width) - width
+            of = np.repeat(np.arange(len(mid)), width)
+            i = np.arange(width.sum()) - np.repeat(first - least, width)
+            j = mid[of]
+            cost = best[i] + top[j] * (n[j] - n[i]) - (s[j] - s[i])
+            now[mid] = np.minimum.reduceat(cost, first)
+            hit = np.flatnonzero(cost == now[j])
+            at = i[hit[np.unique(of[hit], return_index=True)[1]]]
+            came[k, mid] = at
+            lo, hi, least, most = (np.concatenate(x) for x in ((lo, mid + 1), (mid - 1, hi), (least, at), (at, most)))
+            some = lo <= hi
+            lo, hi, least, most = lo[some], hi[some], least[some], most[some]
+        best = now
     out, j = [], m
     for k in reversed(range(buckets)):
         if j == 0:
@@ -49,10 +73,15 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.n
     return np.array(sorted(out))
 
 
-def batch_plan(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+def batch_plan(bounds: np.ndarray, counts: np.ndarray, capacity: int, *, mixed: bool = True) -> list[tuple[dict[int, int], int]]:
     """Batches (items per bucket) and how often each is repeated; every item is in one of them."""
     left = counts.astype(np.int64).copy()
-    plan = []
+    plan: list[tuple[dict[int, int], int]] = []
+    if not mixed:
+        for k, c in enumerate(left.tolist()):
+            per = capacity // int(bounds[k])
+            plan += [({k: n}, times) for n, times in ((per, c // per), (c % per, 1)) if n and times]
+        return plan
     top = len(bounds) - 1
     while True:
         while top >= 0 and left[top] == 0:
@@ -75,14 +104,32 @@ def batch_plan(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> list[tu
         plan.append((batch, times))
 
 
-def pack(items: DataFrame, kinds: dict[str, int], *, buckets: int = BUCKETS) -> DataFrame:
+def container_finder(ranges: dict[str, dict[int, list[tuple[int, int, int]]]]):
+    """Column function (kind, bucket, rank) -> container, of each bucket's ranges of ranks (low, items per container, first container)."""
+    tables = {(kind, b): tuple(np.array(x) for x in zip(*of)) for kind, by in ranges.items() for b, of in by.items()}
+
+    @F.pandas_udf("bigint")
+    def container(kind: pd.Series, bucket: pd.Series, rank: pd.Series) -> pd.Series:
+        out = np.empty(len(rank), np.int64)
+        for key, at in pd.Series(rank.to_numpy()).groupby([kind.to_numpy(), bucket.to_numpy()]):
+            low, per, base = tables[key]
+            r = at.to_numpy()
+            k = np.searchsorted(low, r, "right") - 1
+            out[at.index] = base[k] + (r - low[k]) // per[k]
+        return pd.Series(out)
+
+    return container
+
+
+def pack(items: DataFrame, kinds: dict[str, int], *, buckets: int = BUCKETS, mixed: bool = True) -> DataFrame:
     """container_kind, container_id, doc_id, piece_no and n_tokens of every piece of every item.
 
     items has doc_id and n_tokens (bigint), each id once; kinds are the few
     containers and their capacities. An item above the capacity is cut into
     full pieces and a rest, all others stay whole. An item without tokens
-    takes no room: its container_id is null. A null length counts as 0. Ranks
-    are counted per bucket and salt, so no task holds a whole bucket.
+    takes no room: its container_id is null. A null length counts as 0. With
+    mixed=False the items of a container are of one bucket. Ranks are counted
+    per bucket and salt, of which a bucket has as many as its items ask for.
     """
     spark = items.sparkSession
     if not kinds:
@@ -96,7 +143,8 @@ def pack(items: DataFrame, kinds: dict[str, int], *, buckets: int = BUCKETS) ->
     histogram: dict[str, dict[int, int]] = {k: {} for k in kinds}
     for r in pieces.groupBy("container_kind", "n_tokens").count().collect():  # at most a row per kind and length
         histogram[r[0]][r[1]] = r[2]
-    bucket_of, ranges = [], []
+    bucket_of: list[tuple[str, int, int, int]] = []
+    ranges: dict[str, dict[int, list[tuple[int, int, int]]]] = {k: {} for k in kinds}
     for kind, h in histogram.items():
         if not h:
             continue
@@ -104,26 +152,25 @@ def pack(items: DataFrame, kinds: dict[str, int], *, buckets: int = BUCKETS) ->
         counts = np.array([h[x] for x in lengths])
         bounds = bucket_bounds(lengths, counts, buckets)
         at = np.searchsorted(bounds, lengths)
-        bucket_of += [(kind, int(x), int(b)) for x, b in zip(lengths, at)]
-        base, used = 0, np.zeros(len(bounds), np.int64)
-        for batch, times in batch_plan(bounds, np.bincount(at, counts, len(bounds)).astype(np.int64), kinds[kind]):
+        held = np.bincount(at, counts, len(bounds)).astype(np.int64)
+        bucket_of += [(kind, int(x), int(b), int(-(-held[b] // PER_SALT))) for x, b in zip(lengths, at)]
+        base, used = 0, [0] * len(bounds)
+        for batch, times in batch_plan(bounds, held, kinds[kind], mixed=mixed):
             for b, n in batch.items():
-                ranges.append((kind, b, int(used[b]), int(used[b] + n * times), n, base))
+                ranges[kind].setdefault(b, []).append((used[b], n, base))
                 used[b] += n * times
             base += times
-    buckets_df = F.broadcast(spark.createDataFrame(bucket_of, "container_kind string, n_tokens bigint, bucket int"))
-    ranges_df = F.broadcast(spark.createDataFrame(ranges, "container_kind string, bucket int, low bigint, high bigint, per int, base bigint"))
-
-    salt = F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts(items))).cast("int").alias("salt")
-    placed = pieces.join(buckets_df, ["container_kind", "n_tokens"]).select("*", salt)
+    # a row per kind and length, which capacity bounds
+    buckets_df = F.broadcast(spark.createDataFrame(bucket_of, "container_kind string, n_tokens bigint, bucket int, salts int"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece_no"), "salts").cast("int").alias("salt")
+    placed = pieces.join(buckets_df, ["container_kind", "n_tokens"]).select("container_kind", "doc_id", "piece_no", "n_tokens", "bucket", salt)
     tally = placed.groupBy("container_kind", "bucket", "salt").count()
     before = Window.partitionBy("container_kind", "bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offset = tally.select("container_kind", "bucket", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     w = Window.partitionBy("container_kind", "bucket", "salt").orderBy("doc_id", "piece_no")
-    ranked = placed.withColumn("r", F.row_number().over(w) - 1).join(offset, ["container_kind", "bucket", "salt"]).withColumn("rank", F.col("r") + F.col("offset"))
-    found = ranked.join(ranges_df, ["container_kind", "bucket"]).where("rank >= low and rank < high")
-    container = (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("per"))).cast("bigint")
-    return found.select("container_kind", container.alias("container_id"), "doc_id", "piece_no", "n_tokens").unionByName(none)
+    ranked = placed.withColumn("r", F.row_number().over(w) - 1).join(offset, ["container_kind", "bucket", "salt"])
+    found = container_finder(ranges)("container_kind", "bucket", F.col("r") + F.col("offset"))
+    return ranked.select("container_kind", found.alias("container_id"), "doc_id", "piece_no", "n_tokens").unionByName(none)
 
 
 def _kinds(spark, sf_dir: str) -> dict[str, int]:
