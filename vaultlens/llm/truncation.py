@@ -1,11 +1,12 @@
 """Text cut off by field limits or in transfer (problem 9).
 
-A text is read from its end: marks and footers that a source puts behind the
-break are taken off, then the open structures (code, JSON, table row, link)
-and the last line decide most texts. What the form leaves open is decided by
-the corpus: a trie of its vocabulary says whether the final token is an
-unknown proper prefix of known words, counts of words in final position say
-whether a sentence can end there, and each source's lengths say where it cuts.
+A text is read from its end, after the marks and footers that a source puts
+behind the break. Of every text the corpus is asked first: a trie of its
+vocabulary says whether the final token is an unknown proper prefix of known
+words, and each source's lengths say where it cuts. What they leave open the
+form decides: open structures (code, JSON, table row, link), and running words
+without a full stop, where counts of words in final position say whether a
+sentence can end there and whether a source is one of chat messages.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ LIST = re.compile(r"\s*(?:[-*+•]|\d+[.)]) +")
 TAG_LINE = re.compile(r"\s*(?:#[^\s#]+\s*)+$")
 SIGNATURE = re.compile(r"\s*(?:—|--|–) ?[^\W\d_][\w.' -]{0,40}$")
 EMOJI = re.compile("[\u200d\ufe0f\U0001f000-\U0001ffff\u2600-\u27bf]")
-SOURCE = re.compile(r"\s*(?:Source|Quelle|Fuente|Источник): ?\S+/\S+/\d+$")
+#: A line of a label and a path to a numbered page.
+REFERENCE = re.compile(r"\s*[^\W\d_]+: ?\S+/\S+/\d+$")
 #: A line that begins an object or a list of objects; '[[' begins a link.
 JSON_START = re.compile(r'(?:^|\n)[ \t]*(?:\{(?=\s*(?:"|\}|$))|\[(?=\s*(?:\{|$)))')
 #: A footer ends this share of a source's texts, so a source has at most twenty.
@@ -101,7 +103,10 @@ def ending(text: str | None, footers: tuple[str, ...] = ()) -> tuple[str, str, s
     """
     if text is None or not text.strip():
         return "none", "", ""
-    body, marked = strip_end(text, footers)
+    return _ending(*strip_end(text, footers))
+
+
+def _ending(body: str, marked: bool) -> tuple[str, str, str]:
     if "�" == body[-1]:
         return "cut", "", ""
     opened = _json_open(body)
@@ -133,7 +138,7 @@ def ending(text: str | None, footers: tuple[str, ...] = ()) -> tuple[str, str, s
     final, before = (tokens[-1] if tokens else ""), (tokens[-2] if len(tokens) > 1 else "")
     if not final or not plain:
         return ("cut" if plain.endswith(("[", "(", "{", ",")) else "whole"), "", ""
-    if SOURCE.match(last):
+    if REFERENCE.match(last):
         return "whole", "", ""
     if TAG_LINE.match(last) or SIGNATURE.match(last) or re.match(r"\s*#{1,6} ", last):
         return ("cut" if marked else "item"), final, before
@@ -156,9 +161,7 @@ def ending(text: str | None, footers: tuple[str, ...] = ()) -> tuple[str, str, s
 TALLY = "kind string, doc_id bigint, source string, state string, word string, before string, n_chars bigint, n_bytes bigint, s_chars bigint, s_bytes bigint, marked boolean, hash bigint, total bigint, final bigint, penult bigint"
 #: Words a task counts before it hands the counts on.
 FLUSH = 200_000
-#: Characters of a brief message.
-BRIEF = 80
-#: A brief message that a chat source has so often, and in this share of its texts, can be all that was said.
+#: A message that a chat source has so often, and in this share of its texts, can be all that was said.
 REPEATS, REPEAT_SHARE = 3, 0.01
 #: Lengths of a text as it stands and without what strip_end takes off.
 MEASURES = ["n_chars", "n_bytes", "s_chars", "s_bytes"]
@@ -187,14 +190,17 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for i, source, text, footers in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "source", "text", "footers"))):
-            state, last, before = ending(text, tuple(footers or ()))
             left, marked = strip_end(text or "", tuple(footers or ()))
+            state, last, before = _ending(left, marked) if left else ("none", "", "")
+            flush = left[-1:].isalnum()  # a token stands at the very end, so the trie can tell
+            if flush and not last:
+                last = TOKEN.findall(left.rsplit("\n", 1)[-1])[-1]
             digest = xxhash.xxh64_intdigest(text) - 2**63 if text else None
             out.append(("text", i, source, state, last.lower(), before.lower(), len(text or ""), len((text or "").encode()), len(left), len(left.encode()), marked, digest, None, None, None))
             if state == "none":
                 continue
             runs = _RUNS.findall(left.lower())
-            if state != "whole" and runs:  # what stands at a doubtful end is no evidence of a word
+            if (flush or state != "whole") and runs:  # what stands at a doubtful end is no evidence of a word
                 runs.pop()
             ends = [not gap.isspace() and any(c in STOPS for c in gap) or "\n" in gap for _, gap in runs]
             ws = [w for w, _ in runs]
@@ -250,8 +256,27 @@ def limits(texts: DataFrame) -> DataFrame:
     return found.groupBy("source").agg(*[F.collect_list(F.when(F.col("measure") == m, F.col("n"))).alias(f"at_{m}") for m in MEASURES])
 
 
+#: Characters from which on the words that begin alike are sorted to find those that go on.
+HEAD = 4
+
+
+def known_beginnings(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """The asked words that are proper prefixes of some of words; both have word, each once.
+
+    The trie in sorted form: all words that go on from a prefix follow it
+    directly, so the next one tells. Short prefixes are written out, at most
+    HEAD - 1 of a word, and of longer ones only the word itself is moved.
+    """
+    short = words.select(F.explode(F.expr(f"transform(sequence(1, least({HEAD}, length(word))), k -> left(word, k - 1))")).alias("word")).where("word <> ''").distinct()
+    few = asked.where(F.length("word") < HEAD).join(short, "word", "left_semi")
+    both = asked.where(F.length("word") >= HEAD).select("word", F.lit(None).cast("string").alias("known")).unionByName(words.where(F.length("word") > HEAD).select("word", F.col("word").alias("known")))
+    w = Window.partitionBy(F.left("word", F.lit(HEAD))).orderBy(F.desc("word")).rowsBetween(Window.unboundedPreceding, -1)
+    next_ = both.withColumn("next", F.last("known", ignorenulls=True).over(w))
+    return few.unionByName(next_.where(F.col("known").isNull() & F.startswith("next", "word") & (F.col("next") != F.col("word"))).select("word"))
+
+
 def truncated(docs: DataFrame) -> DataFrame:
-    """doc_id, source, state and cut of each text.
+    """doc_id, source, state, cut and evidence of each text: what first shows the cut, of word, length, structure and sentence.
 
     docs needs doc_id, source and text; other columns are ignored. Null, empty
     and blank texts are never cut. A null source is a source of its own.
@@ -266,33 +291,36 @@ def truncated(docs: DataFrame) -> DataFrame:
     tally = materialize(read.mapInArrow(_read_texts, TALLY), "endings")
     texts = tally.where("kind = 'text'").select("doc_id", "source", "state", "word", "before", *MEASURES, "marked", "hash")
     vocabulary = materialize(tally.where("kind = 'word'").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("total", "final", "penult")]), "vocabulary")
-    # the trie as a relation: every proper prefix of a word leads to it
-    asked = texts.where(F.col("state").isin("item", "line")).select("word").distinct()
-    prefixes = vocabulary.where(F.col("total") > 1).select(F.explode(F.expr("transform(sequence(1, length(word)), k -> substring(word, 1, k - 1))")).alias("word")).where("word <> ''")
-    led = asked.join(prefixes, "word", "left_semi").withColumn("led", F.lit(True))
+    asked = texts.where("word <> ''").select("word").distinct()
+    led = known_beginnings(asked, vocabulary.where(F.col("total") > 1)).withColumn("led", F.lit(True))
     known = asked.join(vocabulary, "word").select("word", "total", "final")
     prior = vocabulary.select(F.col("word").alias("before"), F.col("total").alias("b_total"), "penult")
-    open_ = texts.where(F.col("state").isin("item", "line")).join(known, "word", "left").join(led, "word", "left").join(prior, "before", "left")
+    read = texts.where("state <> 'none'").join(known, "word", "left").join(led, "word", "left").join(prior, "before", "left")
     broken = F.col("total").isNull() & F.coalesce("led", F.lit(False))
     can_end = F.when(F.col("total").isNotNull(), F.col("final") >= 0.02 * F.col("total")).otherwise(F.coalesce(F.col("penult") >= 0.05 * F.col("b_total"), F.lit(False)))
-    judged = open_.withColumn("broken", broken).withColumn("sound", ~broken & can_end)
+    judged = read.withColumn("broken", broken).withColumn("sound", ~broken & can_end)
     judged = materialize(judged.select("doc_id", "source", "state", *MEASURES, "marked", "hash", "broken", "sound"), "judged")
     # where a source's different texts end without full stops and yet soundly, it is one of chat messages
     lines = judged.where("state = 'line'").groupBy("source", "hash").agg(F.max("sound").alias("sound"), F.count("*").alias("same"), F.min("n_chars").alias("n_chars"))
     chat = lines.groupBy("source").agg((F.avg(F.col("sound").cast("int")) >= 0.5).alias("chat"))
-    # there a brief message that recurs may end in any known word
-    size = texts.groupBy("source").agg(F.count("*").alias("of"))
-    usual = lines.where((F.col("n_chars") <= BRIEF) & (F.col("same") >= REPEATS)).join(size, "source").where(F.col("same") >= REPEAT_SHARE * F.col("of")).select("source", "hash", F.lit("line").alias("state"), F.lit(True).alias("usual"))
-    ends = texts.where(F.col("state").isin("whole", "cut")).select("source", "hash", *MEASURES, "marked", (F.col("state") == "cut").alias("breaks"))
-    ends = ends.unionByName(judged.select("source", "hash", *MEASURES, "marked", (F.col("broken") | (F.col("state") == "line") & ~F.col("sound")).alias("breaks")))
+    # there a message that recurs may end in any known word
+    size = judged.groupBy("source").agg(F.count("*").alias("of"))
+    usual = lines.where(F.col("same") >= REPEATS).join(size, "source").where(F.col("same") >= REPEAT_SHARE * F.col("of")).select("source", "hash", F.lit("line").alias("state"), F.lit(True).alias("usual"))
+    line, open_ = F.col("state") == "line", F.col("state").isin("item", "line")
+    breaks = (F.col("state") == "cut") | open_ & F.col("broken") | line & ~F.col("sound")
+    ends = judged.select("source", "hash", *MEASURES, "marked", breaks.alias("breaks"))
     of = judged.join(usual, ["source", "hash", "state"], "left").join(chat, "source", "left").join(limits(ends), "source", "left")
     reach = lambda m: F.array_contains(f"at_{m}", F.col(m)) if m.endswith("chars") else F.exists(f"at_{m}", lambda n: (F.col(m) <= n) & (F.col(m) > n - 4))
     full = reduce(Column.__or__, [F.coalesce(reach(m), F.lit(False)) for m in MEASURES])
     is_chat = F.coalesce("chat", F.lit(False))
     sound = F.col("sound") | F.coalesce("usual", F.lit(False)) & ~full
-    cut = F.col("broken") | full & ~is_chat | (F.col("state") == "line") & ~(is_chat & sound)
-    decided = texts.where(~F.col("state").isin("item", "line")).select("doc_id", "source", "state", (F.col("state") == "cut").alias("cut"))
-    return decided.unionByName(of.select("doc_id", "source", "state", cut.alias("cut")))
+    # a text that seems whole is only cut where both kinds of evidence say so
+    by_word = F.col("broken") & ((F.col("state") != "whole") | full)
+    by_length = full & open_ & ~is_chat
+    by = F.when(by_word, "word").when(by_length, "length").when(F.col("state") == "cut", "structure").when(line & ~(is_chat & sound), "sentence")
+    decided = of.select("doc_id", "source", "state", by.isNotNull().alias("cut"), by.alias("evidence"))
+    none = texts.where("state = 'none'").select("doc_id", "source", "state", F.lit(False).alias("cut"), F.lit(None).cast("string").alias("evidence"))
+    return decided.unionByName(none)
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:
@@ -300,6 +328,7 @@ def p9_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p9_sources(spark, sf_dir: str) -> DataFrame:
-    """How often each source truncates: source, texts, cut, share."""
+    """How often each source truncates: source, texts, cut and its parts by what first shows it, share."""
     t = truncated(read_table(spark, sf_dir, "documents")).where("state <> 'none'")
-    return t.groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut")).withColumn("share", F.col("cut") / F.col("texts"))
+    parts = [F.count_if(F.col("evidence") == e).alias(f"by_{e}") for e in ("word", "length", "structure", "sentence")]
+    return t.groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), *parts).withColumn("share", F.col("cut") / F.col("texts"))
