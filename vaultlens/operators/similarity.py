@@ -1,32 +1,41 @@
 """Title and tag similarity: scores, bounds, and the pair joins built on them.
 
 The title part of every score is difflib's ratio, which is not symmetric; its
-arguments are oriented by note_id. All else is native. No pair is scored that
-a bound excludes: the ratio is at most 2 min(a, b) / (a + b) of the lengths.
+arguments are oriented by note_id. Pairs are met in tiles: the notes of a key,
+dealt into parts of bounded size, every two parts forming one tile. In a tile
+tags and tokens in common are counted as matrices, and only the pairs that the
+lengths and then the characters of their titles leave open are aligned.
 
 A pair above the weight of the title alone must share a tag or a token, so
-candidates meet through these as join keys, without loss; the smallest common
-key of a pair is the one under which it counts, so no pair comes out twice.
-Bodies never take part in a join of notes with notes.
+candidates meet through these as keys, without loss; the smallest common key
+of a pair is the one under which it counts, so no pair comes out twice. Below
+that weight all notes have one key. Bodies never take part in a join of notes
+with notes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from vaultlens.functions import text as T
-from vaultlens.plans.runtime import materialize, salts
+from vaultlens.plans.runtime import materialize, numbered
 
 #: Weights of title, tags and title tokens.
 DEDUP, AUDIT = (0.5, 0.3, 0.2), (0.7, 0.3, 0.0)
-#: Notes of a key that one task compares with all notes of the key.
-PER_PART = 500
+#: Notes of a part; a tile compares two parts.
+PER_PART = 1000
+#: Pairs that one task compares, about.
+PER_TASK = 20_000_000
+#: Values that more notes of a tile have are counted by a matrix product, rarer ones pair by pair.
+DENSE = 24
 #: Tokens too common in titles to relate notes.
 STOP_TOKENS = ["через", "между", "после", "вокруг", "вместо", "against", "using", "about"]
 
@@ -44,81 +53,174 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _counts(texts: list[str], classes: int = 64) -> np.ndarray:
+def char_counts(texts: list[str], classes: int = 64) -> np.ndarray:
     """How often each text has characters of each class."""
-    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") % classes, minlength=classes) for t in texts])
-
-
-def ratios_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """difflib's ratio of each pair, missing where the characters in common show that it is below least."""
-    codes, texts = pd.factorize(pd.concat([a, b], ignore_index=True))
-    if not len(codes):
-        return pd.Series([], dtype=float)
-    counts, n = _counts(list(texts)), len(a)
+    size = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) % classes
+    flat = np.repeat(np.arange(len(texts)), size) * classes + codes
+    return np.bincount(flat, minlength=len(texts) * classes).reshape(len(texts), classes).astype(np.int32)
+
+
+def ratios_from(texts: list[str], x: np.ndarray, y: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """difflib's ratio of the texts x with the texts y, missing where lengths or characters in common show that it is below least."""
+    out = np.full(len(x), np.nan)
+    if not len(x):
+        return out
+    counts = char_counts(texts)
     size = counts.sum(axis=1)
-    x, y = codes[:n], codes[n:]
     total = size[x] + size[y]
-    bound = np.where(total == 0, 1.0, 2.0 * np.minimum(counts[x], counts[y]).sum(axis=1) / np.maximum(total, 1))
-    out = np.full(n, np.nan)
-    m, seen = SequenceMatcher(None), None
-    for k in np.flatnonzero(bound >= least.to_numpy() - 1e-9):
-        if b.iat[k] != seen:
-            seen = b.iat[k]
-            m.set_seq2(seen)
-        m.set_seq1(a.iat[k])
-        out[k] = m.ratio()
-    return pd.Series(out)
-
-
-@F.pandas_udf(DoubleType())
-def ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """ratios_from for columns."""
-    return ratios_from(a, b, least)
-
-
-def length_bound(a: Column, b: Column) -> Column:
-    """Upper bound of the ratio by the texts' lengths; 1 for two empty ones."""
-    la, lb = F.length(a), F.length(b)
-    return F.when(la + lb == 0, 1.0).otherwise(2.0 * F.least(la, lb) / (la + lb))
-
-
-def keyed(notes: DataFrame, weights: tuple[float, float, float]) -> DataFrame:
-    """note_id, low (lowercased title), tags, tokens and the join keys of notes."""
-    tokens = T.title_tokens("title") if weights[2] else F.array().cast("array<string>")
-    k = notes.select("note_id", F.lower("title").alias("low"), F.array_distinct("tags").alias("tags"), tokens.alias("tokens"))
-    tagged = F.transform("tags", lambda t: F.concat(F.lit("#"), t)) if weights[1] else F.array().cast("array<string>")
-    return k.withColumn("keys", F.concat(tagged, F.transform("tokens", lambda t: F.concat(F.lit("w"), t))))
+    most = 2.0 * np.minimum(size[x], size[y])
+    open_ = np.flatnonzero((total == 0) | (most >= (least - 1e-9) * total))
+    for a in range(0, len(open_), 100_000):
+        k = open_[a : a + 100_000]
+        most[k] = 2.0 * np.minimum(counts[x[k]], counts[y[k]]).sum(axis=1)
+    open_ = open_[(total[open_] == 0) | (most[open_] >= (least[open_] - 1e-9) * total[open_])]
+    _, code = np.unique(np.array(texts, dtype=object), return_inverse=True)
+    same = code[x[open_]] == code[y[open_]]
+    out[open_[same]] = 1.0
+    open_ = open_[~same]
+    m = SequenceMatcher(None)
+    pair, at = np.unique(code[y[open_]].astype(np.int64) * len(texts) + code[x[open_]], return_inverse=True)
+    first = np.zeros(len(pair), np.int64)
+    first[at] = open_
+    known, seen = np.empty(len(pair)), -1
+    for n, k in enumerate(first):
+        if code[y[k]] != seen:
+            seen = code[y[k]]
+            m.set_seq2(texts[y[k]])
+        m.set_seq1(texts[x[k]])
+        known[n] = m.ratio()
+    out[open_] = known[at]
+    return out
+
+
+def _in_common(rows: np.ndarray, values: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each left row has in common with each right one; values are different within a row."""
+    _, code, count = np.unique(values, return_inverse=True, return_counts=True)
+    place = np.full((2, n), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    often = count > DENSE
+    col = np.cumsum(often) - 1
+    sides = []
+    for side, size in ((0, len(left)), (1, len(right))):
+        hot = np.zeros((size, int(often.sum())), np.float32)
+        k = often[code] & (place[side, rows] >= 0)
+        hot[place[side, rows[k]], col[code[k]]] = 1
+        sides.append(hot)
+    out = (sides[0] @ sides[1].T).astype(np.int32)
+    k = ~often[code] & (count[code] > 1)
+    order = np.argsort(code[k], kind="stable")
+    r, c = rows[k][order], code[k][order]
+    flat = [np.empty(0, np.int64)]
+    for d in range(-min(DENSE, len(r)) + 1, min(DENSE, len(r))):
+        u, v = (r[: len(r) - d], r[d:]) if d >= 0 else (r[-d:], r[:d])
+        cu, cv = (c[: len(c) - d], c[d:]) if d >= 0 else (c[-d:], c[:d])
+        ok = (cu == cv) & (place[0, u] >= 0) & (place[1, v] >= 0)
+        flat.append(place[0, u[ok]] * len(right) + place[1, v[ok]])
+    return out + np.bincount(np.concatenate(flat), minlength=out.size).reshape(out.shape).astype(np.int32)
+
+
+def _similar_in_tile(key: int, ids: np.ndarray, part: np.ndarray, titles: list[str], tags: tuple[np.ndarray, np.ndarray], tokens: tuple[np.ndarray, np.ndarray], weights: tuple[float, float, float], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids a, b and scores of the similar pairs of a tile for which key is the smallest one in common."""
+    wt, wg, wk = weights
+    n = len(ids)
+    two = part[0] != part[-1]
+    left, right = (np.flatnonzero(part == part[0]), np.flatnonzero(part == part[-1])) if two else (np.arange(n), np.arange(n))
+    may = np.ones((len(left), len(right)), bool) if two else np.triu(np.ones((n, n), bool), 1)
+    common, whole = [], []
+    for of in (tags, tokens):
+        rows, size = np.repeat(np.arange(n), of[1]), of[1]
+        both = _in_common(rows, of[0], n, left, right)
+        common.append(both)
+        whole.append(size[left][:, None] + size[right][None, :] - both)
+    low = [(np.repeat(np.arange(n), of[1])[of[0] < key], of[0][of[0] < key]) for of, w in ((tags, wg), (tokens, wk)) if w]
+    rows, values = (np.concatenate(x) for x in zip(*low)) if low else (np.empty(0, np.int64),) * 2
+    if key != ALL and len(values):
+        may &= _in_common(rows, values, n, left, right) == 0
+    size = np.array([len(t) for t in titles], np.float64)
+    total = size[left][:, None] + size[right][None, :]
+    bound = np.where(total == 0, 1.0, 2.0 * np.minimum(size[left][:, None], size[right][None, :]) / np.maximum(total, 1)) if wt else 0.0
+    sets = wg * common[0] / np.maximum(whole[0], 1) + wk * common[1] / np.maximum(whole[1], 1)
+    may &= wt * bound + sets >= threshold - 1e-9
+    i, j = np.nonzero(may)
+    x, y = left[i], right[j]
+    swap = ids[x] > ids[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    score = np.zeros(len(x))
+    if wt:
+        score = wt * ratios_from(titles, x, y, (threshold - sets[i, j] - 1e-9) / wt)
+    score = score + wg * (common[0][i, j] / np.maximum(whole[0][i, j], 1)) + wk * (common[1][i, j] / np.maximum(whole[1][i, j], 1))
+    hit = score >= threshold
+    return ids[x[hit]], ids[y[hit]], score[hit]
+
+
+#: The key of all notes, smaller than any other.
+ALL = -(2**63)
+
+
+def keyed(notes: DataFrame, weights: tuple[float, float, float], threshold: float) -> DataFrame:
+    """note_id, low (lowercased title), tags and tokens as hashes, and the keys under which a note meets others."""
+    hashed = lambda kind, c: F.transform(F.array_distinct(c), lambda x: F.xxhash64(F.lit(kind), x))
+    k = notes.select("note_id", F.lower("title").alias("low"), hashed("#", "tags").alias("tags"), hashed("w", T.title_tokens("title")).alias("tokens"))
+    none = F.array().cast("array<bigint>")
+    keys = F.array(F.lit(ALL)) if threshold <= weights[0] else F.concat(F.col("tags") if weights[1] else none, F.col("tokens") if weights[2] else none)
+    return k.withColumn("keys", keys)
 
 
 def similar_pairs(notes: DataFrame, weights: tuple[float, float, float], threshold: float) -> DataFrame:
-    """a, b (note ids, a < b) and score of all pairs that score threshold or more.
+    """a, b (note ids, a < b) and score of all pairs that score threshold or more, whatever it is.
 
-    notes has note_id, title and tags. The threshold must lie above the
-    title's weight: below it pairs without anything in common qualify, and
-    there is no join key for them. The work follows the number of pairs that
-    share a key; with few tags for many notes it is that of the nested loop it
-    replaces, and the joins of problems 3 and 4 are the ones for such vaults.
+    notes has note_id, title and tags. The work follows the pairs of notes that
+    share a key, some ten million of which a core compares in a second; with
+    few tags for many notes it is that of the nested loop it replaces, and the
+    joins of problems 3 and 4 are the ones for such vaults.
     """
-    wt, wg, wk = weights
-    if threshold <= wt:
-        raise ValueError("threshold must exceed the title's weight")
-    k = keyed(notes, weights)
-    e = k.withColumn("key", F.explode("keys"))
-    # the notes of a frequent key are dealt out on the one side and repeated on the other
-    parts = e.groupBy("key").agg(F.ceil(F.count("*") / PER_PART).cast("int").alias("parts")).where("parts > 1")
-    e = e.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    n = salts(notes)  # explicit, as the work follows pairs, not the bytes by which small partitions are merged
-    x = e.withColumn("part", F.pmod(F.xxhash64("note_id"), F.col("parts")).cast("int")).repartition(n, "key", "part").alias("x")
-    y = e.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition(n, "key", "part").alias("y")
-    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    sets = wg * T.jaccard(a("tags"), b("tags")) + (wk * T.jaccard(a("tokens"), b("tokens")) if wk else F.lit(0.0))
-    once = a("key") == F.array_min(F.array_intersect(a("keys"), b("keys")))
-    least = threshold - 1e-9
-    title = wt * length_bound(a("low"), b("low")) if wt else F.lit(0.0)
-    may = (a("key") == b("key")) & (a("part") == b("part")) & (a("note_id") < b("note_id")) & (title + sets >= least) & once
-    met = x.join(y, may).select(a("note_id").alias("a"), b("note_id").alias("b"), a("low").alias("low_a"), b("low").alias("low_b"), sets.alias("sets"))
-    score = wt * ratio_from("low_a", "low_b", (least - F.col("sets")) / wt) + F.col("sets") if wt else F.col("sets")
-    return met.withColumn("score", score).where(F.col("score") >= threshold).select("a", "b", "score")
+    k = materialize(keyed(notes.where("title is not null and tags is not null"), weights, threshold), "keyed")
+    e = k.select("*", F.explode("keys").alias("key")).drop("keys")
+    met = materialize(e.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    work = met.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0
+    tasks = max(notes.sparkSession.sparkContext.defaultParallelism, int(work / PER_TASK) + 1)
+    parts = F.ceil(F.col("n") / PER_PART).cast("int")
+    e = e.join(met, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("note_id"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    e = e.withColumn("other", other).withColumn("tile", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    e = e.select("tile", "key", "part", "note_id", "low", "tags", "tokens").repartition(tasks, "tile").sortWithinPartitions("tile", "part", "note_id")
+
+    def tile(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        lists = []
+        for c in ("tags", "tokens"):
+            x = t.column(c).combine_chunks()
+            lists.append((x.flatten().to_numpy(), np.diff(x.offsets.to_numpy()).astype(np.int64)))
+        return _similar_in_tile(t.column("key")[0].as_py(), t.column("note_id").to_numpy(), t.column("part").to_numpy(), t.column("low").to_pylist(), *lists, weights, threshold)
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            a, b, score = (np.concatenate(c) for c in zip(*found))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], names=["a", "b", "score"])
+
+        held: list[pa.RecordBatch] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        now = None
+        for batch in it:
+            of = batch.column("tile").to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)]
+            for s, n in zip(cuts, cuts[1:]):
+                if held and of[s] != now:
+                    found.append(tile(held))
+                    held = []
+                    if sum(len(x[0]) for x in found) > 50_000 or len(found) > 1000:
+                        yield out()
+                if n > s:
+                    held.append(batch.slice(s, n - s))
+                    now = of[s]
+        if held:
+            found.append(tile(held))
+        if found:
+            yield out()
+
+    return e.mapInArrow(rows, "a bigint, b bigint, score double")
 
 
 def without_linked(pairs: DataFrame, notes: DataFrame) -> DataFrame:
@@ -135,6 +237,33 @@ def without_reviewed(pairs: DataFrame, reviewed: DataFrame) -> DataFrame:
     return pairs.join(two, ["a", "b"], "left_anti")
 
 
+@F.pandas_udf(DoubleType())
+def rounded(score: pd.Series) -> pd.Series:
+    """To three places, of the number as it is stored; Spark's own round goes by its shortest notation."""
+    return pd.Series([round(x, 3) for x in score], dtype=float)
+
+
+def report_order(pairs: DataFrame) -> DataFrame:
+    """Pairs with their score rounded, in the order of the report: rounded score, then titles."""
+    return pairs.withColumn("score", rounded("score")).orderBy(F.desc("score"), "title_a", "title_b", "a", "b")
+
+
+def numbered_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs with pair_id, 1, 2, ... in the order of their notes."""
+    return numbered(pairs, "a", "b", name="pair_id").withColumn("pair_id", F.col("pair_id") + 1)
+
+
+def note_by_title(notes: DataFrame) -> DataFrame:
+    """title and note_id: of notes of one title the last by path."""
+    return notes.groupBy("title").agg(F.max_by("note_id", F.struct("path", "note_id")).alias("note_id"))
+
+
+def action_counts(actions: DataFrame) -> DataFrame:
+    """Candidate pairs and how many of them merge, link or are ignored, in one row."""
+    count = lambda a: F.count_if(F.col("action") == a).alias(a)
+    return actions.agg(F.count("*").alias("candidates"), count("merge"), count("link"), count("ignore"))
+
+
 def top_pairs(pairs: DataFrame, limit: int = 20) -> DataFrame:
     """The pairs of highest score; among equals by titles."""
     return pairs.orderBy(F.desc("score"), "title_a", "title_b", "a", "b").limit(limit)
@@ -166,13 +295,13 @@ def _related_keys(source: Column, title: Column, stop: list[str]) -> Column:
 def shared_keys(targets: DataFrame, notes: DataFrame, stop: list[str] | None = None) -> DataFrame:
     """target, note, shared (tokens) and same (source) of notes that share either with a target.
 
-    targets is the top-k of an operator and is broadcast; both sides meet in
-    an equi-join on tokens and sources.
+    Both sides meet in an equi-join on tokens and sources; few targets, as the
+    top-k of an operator are, the planner broadcasts by their size.
     """
     stop = stop or [""]
     t = targets.select(F.col("note_id").alias("target"), F.explode(_related_keys(F.col("source_doc"), F.col("title"), stop)).alias("key"))
     n = notes.select(F.col("note_id").alias("note"), F.explode(_related_keys(F.col("source_doc"), F.col("title"), stop)).alias("key"))
-    met = n.join(F.broadcast(t), "key").where("note <> target")
+    met = n.join(t, "key").where("note <> target")
     return met.groupBy("target", "note").agg(F.count_if(F.col("key").startswith("w")).alias("shared"), F.max(F.col("key").startswith("#")).alias("same"))
 
 
@@ -230,7 +359,7 @@ def related(notes: DataFrame, targets: DataFrame, *, threshold: float = 0.34, k:
     """
     t = targets.select(F.col("note_id").alias("target"), F.col("title").alias("t_title"), F.col("tags").alias("t_tags"), F.col("links").alias("t_links"), F.col("body").alias("t_body"))
     n = notes.where(F.col("note_type") != "moc").select(F.col("note_id").alias("note"), "title", "tags")
-    j = shared_keys(targets, notes, STOP_TOKENS).join(n, "note").join(F.broadcast(t), "target").where(~F.array_contains("t_links", F.col("title")))
+    j = shared_keys(targets, notes, STOP_TOKENS).join(n, "note").join(t, "target").where(~F.array_contains("t_links", F.col("title")))
     base = 0.7 * ratio(F.lower("t_title"), F.lower("title")) + 0.3 * T.jaccard("t_tags", "tags")
     more = 0.08 * F.col("same").cast("int") + F.least(F.lit(0.12), 0.04 * F.col("shared")) + 0.05 * F.contains(F.col("t_body"), F.col("title")).cast("int")
     scored = j.withColumn("score", base + more).where(F.col("score") >= threshold)

@@ -17,11 +17,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (local tests) a temporary folder is
-    made, which is right for a single machine and nothing else.
+    Only where the session names none and its master is local (tests) a
+    temporary folder is made; on a cluster a folder must be named.
     """
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="vaultlens-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
@@ -49,6 +51,12 @@ def release(df_or_path: DataFrame | str) -> None:
             _written.remove((spark, path))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -99,6 +107,15 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
-def salts(df: DataFrame) -> int:
-    """Number of salts for a key that may hold a large share of the rows."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """df with a running number from 0 in the given order, without a task that sees all rows.
+
+    Rows are sorted by range, each range is numbered by itself, and the counts
+    of the ranges before it, a row per range, are added.
+    """
+    at = F.monotonically_increasing_id()
+    s = df.orderBy(*order).withColumns({"__range": F.shiftright(at, 33), "__nth": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    s = materialize(s, "numbered")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = s.groupBy("__range").count().select("__range", before.alias("__before"))
+    return s.join(F.broadcast(start), "__range").withColumn(name, F.col("__nth") + F.col("__before")).drop("__range", "__nth", "__before")
