@@ -1,10 +1,11 @@
 """Core operators on small fixtures with results worked out by hand."""
 
 import json
+import re
 from difflib import SequenceMatcher
 from itertools import combinations
 
-import pandas as pd
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,9 +92,11 @@ def test_enrichment(spark):
 
 def test_relink_is_one_pass(spark):
     m = spark.createDataFrame([("A", "B"), ("B", "C"), ("D", "D")], "old string, new string")
-    df = spark.createDataFrame([(1, "[[A]] [[B]] [[A|x]] [[A#h]] A", 5), (2, "no links", 6), (3, None, 7)], "note_id bigint, body string, old int")
+    rows = [(1, "[[A]] [[B]] [[A|x]] [[A#h]] A", 5), (2, "no links", 6), (3, None, 7), (4, "A]] and [[A]] see [[A", 8), (5, "[[[A]] [[A]]] [[]] [[B]]", 9), (6, "[[A", 1)]
+    df = spark.createDataFrame(rows, "note_id bigint, body string, old int")
     got = {r.note_id: (r.body, r.changed) for r in rewrite.relink(df, m).collect()}
-    assert got == {1: ("[[B]] [[C]] [[A|x]] [[A#h]] A", True), 2: ("no links", False), 3: (None, False)}
+    turned = {i: None if b is None else re.sub(r"\[\[(A|B)\]\]", lambda x: "[[" + {"A": "B", "B": "C"}[x.group(1)] + "]]", b) for i, b, _ in rows}
+    assert got == {i: (turned[i], turned[i] != b) for i, b, _ in rows} and got[1][0] == "[[B]] [[C]] [[A|x]] [[A#h]] A"
 
 
 def test_canonical_body(spark):
@@ -134,7 +137,7 @@ def test_similar_pairs_are_those_of_the_nested_loop(spark):
     titles = ["tide", "diet", "Tide one", "tide two", "Registry of notes", "registry of note", "Note registry", "x", ""]
     tags = [["a"], ["a", "b"], [], ["a"], ["b"], ["b"], ["b", "c"], ["c"], ["c"]]
     df = notes(spark, *(note(i, t, tags=g) for i, (t, g) in enumerate(zip(titles, tags))))
-    for weights, thr in ((sim.DEDUP, 0.55), (sim.AUDIT, 0.72)):
+    for weights, thr in ((sim.DEDUP, 0.55), (sim.AUDIT, 0.72), (sim.DEDUP, 0.3), (sim.AUDIT, 0.5), (sim.DEDUP, 0.0)):
         want = set()
         for i, j in combinations(range(len(titles)), 2):
             x, y = titles[i].lower(), titles[j].lower()
@@ -143,22 +146,35 @@ def test_similar_pairs_are_those_of_the_nested_loop(spark):
                 want.add((i, j))
         got = [(r.a, r.b) for r in sim.similar_pairs(df, weights, thr).collect()]
         assert sorted(got) == sorted(want) and want
-    with pytest.raises(ValueError):
-        sim.similar_pairs(df, sim.AUDIT, 0.5)
+    assert sim.similar_pairs(df.limit(0), sim.AUDIT, 0.5).collect() == []
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=30), st.text(max_size=30))
-def test_length_bounds_the_ratio(a, b):
-    bound = 2 * min(len(a), len(b)) / (len(a) + len(b)) if a or b else 1.0
-    assert SequenceMatcher(None, a, b).ratio() <= bound + 1e-12
+def test_tiles_are_the_nested_loop(spark, monkeypatch):
+    """Parts and tiles of a few notes, also where all notes share a tag."""
+    import random
+
+    monkeypatch.setattr(sim, "PER_PART", 7)
+    rnd = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "of", "note", "review", "weekly"]
+    rows = [note(i, " ".join(rnd.choices(words, k=rnd.randint(0, 4))), tags=["all"] * (i % 5 > 0) + rnd.sample("abcdefghijk", rnd.randint(0, 3))) for i in rnd.sample(range(500), 130)]
+    df = notes(spark, *rows)
+    for weights, thr in ((sim.DEDUP, 0.55), (sim.AUDIT, 0.72), (sim.AUDIT, 0.6), ((0.0, 0.6, 0.4), 0.4)):
+        want = {}
+        for x, y in combinations(sorted(rows), 2):
+            s, t = x[2].lower(), y[2].lower()
+            score = weights[0] * SequenceMatcher(None, s, t).ratio() + weights[1] * jac(set(x[7]), set(y[7])) + weights[2] * jac(set(s.split()), set(t.split()))
+            if score >= thr:
+                want[x[0], y[0]] = score
+        got = {(r.a, r.b): r.score for r in sim.similar_pairs(df, weights, thr).collect()}
+        assert got == pytest.approx(want) and len(want) > 20, (weights, thr)
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.text(max_size=14), st.text(max_size=14), st.floats(0, 1)), max_size=8))
 def test_ratios_are_left_out_only_below_the_limit(rows):
-    a, b, least = (pd.Series([r[k] for r in rows], dtype=t) for k, t in enumerate((object, object, float)))
-    for (x, y, low), got in zip(rows, sim.ratios_from(a, b, least)):
+    texts = [r[0] for r in rows] + [r[1] for r in rows]
+    at = np.arange(len(rows))
+    for (x, y, low), got in zip(rows, sim.ratios_from(texts, at, at + len(rows), np.array([r[2] for r in rows]))):
         want = SequenceMatcher(None, x, y).ratio()
         assert got == want or got != got and want < low
 
@@ -227,10 +243,32 @@ REPLIES = ["", '{"a": 1}', '{"a": [1,', '{"a": "x', '{"a":', "```json\n{\"a\": 1
 def test_replies(spark):
     df = spark.createDataFrame(list(enumerate(REPLIES)), "i int, t string")
     cut = [r[0] for r in df.orderBy("i").select(replies.looks_truncated("t")).collect()]
-    assert cut == [prompts.truncated(t) for t in REPLIES]
     assert cut == [True, False, True, False, True, False, False, False, True, False, True]
     got = [r[0] for r in df.orderBy("i").select(replies.reply_json(replies.fenced("t"))).collect()]
-    assert [json.loads(x) if x else None for x in got] == [None, {"a": 1}, {"a": [1]}, {"a": "x"}, None, {"a": 1}, [1], None, {"a": {"b": [{}]}}, {"a": "}"}, None]
+    assert [json.loads(x) if x else None for x in got] == [None, {"a": 1}, {"a": [1]}, {"a": "x"}, {}, {"a": 1}, [1], None, {"a": {"b": [{}]}}, {"a": "}"}, None]
+    assert [replies.breaks_off(t) for t in REPLIES] == [True, False, True, True, True, False, False, False, True, True, False]
+
+
+VALUES = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=8), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=12)
+
+
+def begins(part, whole):
+    """Whether part is whole as far as it was read."""
+    if isinstance(whole, dict):
+        return isinstance(part, dict) and list(part) == list(whole)[: len(part)] and all(begins(part[k], whole[k]) for k in part)
+    if isinstance(whole, list):
+        return isinstance(part, list) and len(part) <= len(whole) and all(map(begins, part, whole))
+    return whole.startswith(part) if isinstance(whole, str) and isinstance(part, str) else part == whole or isinstance(whole, (int, float)) and isinstance(part, (int, float))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.text(max_size=4), VALUES, min_size=1, max_size=4), st.booleans(), st.data())
+def test_every_beginning_of_an_object_is_repaired(value, ascii_, data):
+    text = json.dumps(value, ensure_ascii=ascii_)
+    cut = text[: data.draw(st.integers(1, len(text)))]
+    got = replies.repair_json(cut)
+    assert got is not None and begins(json.loads(got), value)
+    assert replies.repair_json(text + "x") is None and replies.repair_json('{"a" 1') is None and replies.repair_json("") is None
 
 
 def test_asking(spark):

@@ -40,10 +40,10 @@ def test_vault(spark, tree):
     strict = {r.rel_path: r for r in vault.strict_notes(df).collect()}
     a = strict["Notes/a.md"]
     assert (a.title, a.note_type, a.source_doc, a.date, a.tags, a.links) == ("Title A", "atomic", "S: 1", "2025-01-02", ["x/y"], ["B"])
-    assert "\r" not in a.body and strict["_dir/in.md"].body.startswith("no front") and strict["bad.md"].frontmatter == "{}"
+    assert "\r" not in a.body and strict["_dir/in.md"].body.startswith("no front") and strict["bad.md"].body == "body" and strict["bad.md"].frontmatter == "{}"
     assert strict["Notes/empty.md"].is_blank and strict["Notes/empty.md"].words == 0
     lenient = {r.rel_path: r for r in vault.lenient_notes(df).collect()}
-    assert lenient["_dir/in.md"].body == " rest" and "MOCs/Map — MOC.md" not in lenient and lenient["Notes/a.md"].title == "a"
+    assert lenient["_dir/in.md"].body == "rest" and "MOCs/Map — MOC.md" not in lenient and lenient["Notes/a.md"].title == "a"
     assert vault.find_note(df, "a").first().rel_path == "Notes/a.md"
     assert vault.find_note(df, "in").first().rel_path == "_dir/in.md"
     with pytest.raises(Exception):
@@ -65,7 +65,7 @@ def p(text, style="", run="", extra=""):
 def test_docx(spark, tmp_path):
     cell = lambda t: f"<w:tc>{p(t)}</w:tc>"
     table = f"<w:tbl><w:tr>{cell('h1')}{cell('h2')}</w:tr><w:tr>{cell('a')}{cell('b')}</w:tr></w:tbl>"
-    body = table + p("Intro") + p("Top", "H3") + p("Bold", run="<w:b/>") + p("both", run="<w:b/><w:i/>") + p("item", "LB2") + p("- plain") + p("", extra="<w:drawing/>") + p("") + p("Sub", "H4") + table
+    body = table + p("Intro") + p("Top", "H3") + p("Bold", run="<w:b/>") + p("both", run="<w:b/><w:i/>") + p("item", "LB2") + p("- plain") + '<w:p><w:pPr><w:numPr><w:ilvl w:val="2"/><w:numId w:val="1"/></w:numPr></w:pPr><w:r><w:t>deep</w:t></w:r></w:p>' + p("2) two") + p("", extra="<w:drawing/>") + p("") + p("Sub", "H4") + table
     styles = "".join(f'<w:style w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for i, n in (("H3", "heading 3"), ("H4", "heading 4"), ("LB2", "List Bullet 2")))
     with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
         z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
@@ -73,7 +73,7 @@ def test_docx(spark, tmp_path):
     rows = docx.read_docx(spark, str(tmp_path)).orderBy("section_idx", "para_idx").collect()
     t = "| h1 | h2 |\n| --- | --- |\n| a | b |"
     assert [(r.heading, r.level, r.content) for r in rows] == [
-        (None, 0, t), (None, 0, "Intro"), ("Top", 1, "**Bold**"), ("Top", 1, "***both***"), ("Top", 1, "  - item"), ("Top", 1, "- plain"), ("Top", 1, "[image]"), ("Sub", 2, t),
+        (None, 0, t), (None, 0, "Intro"), ("Top", 1, "**Bold**"), ("Top", 1, "***both***"), ("Top", 1, "  - item"), ("Top", 1, "- plain"), ("Top", 1, "    - deep"), ("Top", 1, "- two"), ("Top", 1, "[image]"), ("Sub", 2, t),
     ]
 
 
@@ -89,10 +89,17 @@ def test_files(spark, tmp_path):
     assert files.load_registry(spark, path).count() == 0
     files.write_json(path, {"s": {"date": None, "note_titles": ["A", "B"]}})
     assert {tuple(r) for r in files.load_registry(spark, path).collect()} == {("s", "A", ""), ("s", "B", "")}
-    (tmp_path / "rev.json").write_text('[{"titles": ["A", "B"], "decision": "keep"}]')
-    assert files.load_reviewed(spark, str(tmp_path / "rev.json")).first().titles == ["A", "B"]
+    (tmp_path / "rev.json").write_text('{"reviewed": [{"titles": ["A", "B"], "decision": "keep"}, 5]}')
+    log = files.load_reviewed(spark, str(tmp_path / "rev.json"))
+    assert log.first().titles == ["A", "B"] and log.count() == 1
+    files.save_reviewed(str(tmp_path / "rev2.json"), log)
+    assert json.loads((tmp_path / "rev2.json").read_text()) == {"reviewed": [{"titles": ["A", "B"], "decision": "keep"}]}
+    assert files.load_reviewed(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "plan.json").write_text(json.dumps({"notes": [{"id": "n1", "title": None}, {"id": "n2", "tags": ["x"]}]}))
     got = files.read_plans(spark, str(tmp_path / "plan.json")).orderBy("ord").collect()
+    (tmp_path / "odd.json").write_text('{"title": "no notes"}')
+    with pytest.raises(Exception, match="no notes"):
+        files.read_plans(spark, str(tmp_path / "odd.json")).collect()
     assert [(r.ord, r.id, r.tags) for r in got] == [(0, "n1", None), (1, "n2", ["x"])] and json.loads(got[0].raw) == {"id": "n1", "title": None}
 
 
@@ -106,6 +113,11 @@ def test_apply(spark, tmp_path):
     apply.apply_plan(ops, str(tmp_path), dry_run=False)
     assert sorted(os.listdir(tmp_path / ".archive")) == ["2025-01-01_dedup_a.md", "2025-01-01_dedup_a_1.md"]
     assert (tmp_path / "Notes/a.md").read_text() == "merged" and not (tmp_path / "Notes/b.md").exists()
+    # again on the same day: no archive is replaced
+    (tmp_path / "Notes/b.md").write_text("b2")
+    apply.apply_plan(ops, str(tmp_path), dry_run=False)
+    kept = {(tmp_path / ".archive" / n).read_text() for n in os.listdir(tmp_path / ".archive")}
+    assert kept == {"a", "b", "b2", "merged"} and len(os.listdir(tmp_path / ".archive")) == 4
 
 
 def test_import_stream(spark, tmp_path):

@@ -2,11 +2,13 @@
 
 A plan is a DataFrame of (op, path, dest, content). Archives come first, then
 writes, so that a merge never archives what it has just written. Each file is
-replaced in one step and every operation may be repeated after a lost task.
+replaced in one step and every operation may be repeated after a lost task. An
+archive never replaces another one: where its name is taken, it is numbered.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import shutil
 import tempfile
@@ -27,6 +29,25 @@ def _put(path: str, content: str) -> None:
     os.replace(tmp, path)
 
 
+def _archive(src: str, to: str) -> None:
+    """Move a file to the first free of to, to_1, to_2, ...; a name is taken by linking, which fails where there is one."""
+    os.makedirs(os.path.dirname(to), exist_ok=True)
+    stem, end = os.path.splitext(to)
+    for n in itertools.count():
+        try:
+            os.link(src, f"{stem}_{n}{end}" if n else to)
+            break
+        except FileExistsError:
+            continue
+        except OSError:  # a file system without links
+            free = f"{stem}_{n}{end}" if n else to
+            if os.path.exists(free):
+                continue
+            shutil.move(src, free)
+            return
+    os.unlink(src)
+
+
 def apply_plan(plan: DataFrame, root: str, *, dry_run: bool = True) -> list[tuple[str, int]]:
     """Number of files per operation; changes nothing if dry_run. root must be shared by all workers."""
     if dry_run:
@@ -39,8 +60,7 @@ def apply_plan(plan: DataFrame, root: str, *, dry_run: bool = True) -> list[tupl
                 src, to = os.path.join(root, path or ""), os.path.join(root, dest or path)
                 if op == "archive":
                     if os.path.exists(src):
-                        os.makedirs(os.path.dirname(to), exist_ok=True)
-                        shutil.move(src, to)
+                        _archive(src, to)
                 elif op == "write":
                     _put(to, content)
                 else:

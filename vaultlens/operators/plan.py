@@ -70,13 +70,17 @@ def render(plans: DataFrame) -> DataFrame:
     return plans.select("plan_note_id", F.concat(safe_name(e("title")), F.lit(".md")).alias("file_name"), content.alias("content"))
 
 
+#: Fixed value: characters that no file name may have.
+FORBIDDEN = '\\/:"*<>?|'
+
+
 def safe_name(title: Column) -> Column:
     """A title as a file name: forbidden characters become dashes, at most 200 bytes of whole characters.
 
     The longest prefix within 200 bytes is found by its characters' sizes, so
     no character is ever cut and nothing leaves the JVM.
     """
-    t = T.strip(F.translate(F.replace(title, F.lit("\x00"), F.lit("")), '\\/:"*<>?|', "-" * 9))
+    t = T.strip(F.translate(F.replace(title, F.lit("\x00"), F.lit("")), FORBIDDEN, "-" * len(FORBIDDEN)))
     chars = F.split(F.left(t, F.lit(200)), "")
     kept = F.aggregate(
         chars,

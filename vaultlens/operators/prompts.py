@@ -68,7 +68,7 @@ def ask(prompts: DataFrame, rewriter: Rewriter, *, tries: int = 3, wait: float =
             try:
                 out = rewriter(prompt)
                 for _ in range(continuations):
-                    if not truncated(out):
+                    if not replies.breaks_off(out):
                         break
                     out += rewriter("Continue exactly where this ends:\n" + out[-tail:])
                 return out
@@ -82,13 +82,3 @@ def ask(prompts: DataFrame, rewriter: Rewriter, *, tries: int = 3, wait: float =
             yield pdf.assign(reply=[one(p) for p in pdf["prompt"]])
 
     return prompts.mapInPandas(rows, schema).withColumn("payload", replies.reply_json(replies.fenced("reply")))
-
-
-def truncated(text: str) -> bool:
-    """looks_truncated for one reply."""
-    s = text.rstrip()
-    if not s or s[-1] in ",:\\":
-        return True
-    if s[-1] == '"' and s.count('"') % 2:
-        return True
-    return sum(map(s.count, "{[")) > sum(map(s.count, "}]")) + 1

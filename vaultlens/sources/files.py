@@ -48,19 +48,29 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_reviewed(spark: SparkSession, path: str) -> DataFrame:
-    """titles, decision, date, confidence of a JSON review log; none if it is missing or broken."""
+    """titles, decision, date, confidence of a JSON review log {"reviewed": [...]}; none if it is missing or broken."""
     schema = "titles array<string>, decision string, date string, confidence double"
     try:
         found = json.loads(Path(path).read_text("utf-8"))
     except (OSError, ValueError):
-        found = []
-    return spark.createDataFrame([(x.get("titles"), x.get("decision"), x.get("date"), x.get("confidence")) for x in found if isinstance(x, dict)], schema)
+        found = {}
+    entries = found.get("reviewed") if isinstance(found, dict) else None
+    rows = [(x.get("titles"), x.get("decision"), x.get("date"), x.get("confidence")) for x in entries or [] if isinstance(x, dict)]
+    return spark.createDataFrame(rows, schema)
+
+
+def save_reviewed(path: str, reviewed: DataFrame) -> None:
+    """Replace a review log by the rows of load_reviewed(); decisions of reviewers, so few enough for one file."""
+    keep = ("titles", "decision", "date", "confidence")
+    write_json(path, {"reviewed": [{k: r[k] for k in keep if r[k] is not None} for r in reviewed.select(*keep).toLocalIterator()]})
 
 
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
-    """plan, ord and the fields of the notes of JSON plans, with raw, each note as written."""
+    """plan, ord and the fields of the notes of JSON plans, with raw, each note as written; a plan without notes is an error."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("plan"), "value")
-    raw = F.from_json(F.get_json_object("value", "$.notes"), "array<string>")
+    listed = F.get_json_object("value", "$.notes")
+    missing = F.raise_error(F.concat(F.lit("no notes in plan "), "plan"))
+    raw = F.from_json(F.when(listed.isNull() | ~listed.startswith("["), missing).otherwise(listed), "array<string>")
     typed = F.from_json("value", PLAN)["notes"]
     return files.select("plan", F.posexplode(F.arrays_zip(typed.alias("note"), raw.alias("raw"))).alias("ord", "x")).select("plan", "ord", "x.note.*", "x.raw")
 

@@ -103,7 +103,7 @@ def lenient_notes(files: DataFrame) -> DataFrame:
 
 def _notes(files: DataFrame, gate: F.Column, *, strict: bool) -> DataFrame:  # type: ignore[name-defined]
     parts = F.split("text", "---", 3)
-    j = files.withColumn("frontmatter", F.when(gate, fm.yaml_json(F.get(parts, F.lit(1))))).withColumn("body", F.when(gate, F.get(parts, F.lit(2))).otherwise(F.col("text")))
+    j = files.withColumn("frontmatter", F.when(gate, fm.yaml_json(F.get(parts, F.lit(1))))).withColumn("body", T.strip(F.when(gate, F.get(parts, F.lit(2))).otherwise(F.col("text"))))
     tags = F.coalesce(F.from_json(F.get_json_object("frontmatter", "$.tags"), "array<string>"), F.array().cast("array<string>"))
     field = lambda k: F.get_json_object("frontmatter", f"$.{k}")
     typed = (lambda c: F.coalesce(c, F.lit(""))) if strict else (lambda c: c)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vaultlens.operators.registry import write_plan
-from vaultlens.plans.runtime import shared_dir
+from vaultlens.plans.runtime import path_exists, shared_dir
 
 STAGED = "id bigint, title string, note_type string, source_doc string, date string, body string"
 
@@ -22,9 +22,9 @@ def import_stream(spark: SparkSession, staging: str, registry: str, plans: str,
 
     def batch(df: DataFrame, epoch: int) -> None:
         s = df.sparkSession
-        try:
+        if path_exists(s, registry):
             known = s.read.parquet(f"{registry}/*").where(F.col("epoch") < epoch)
-        except Exception:  # nothing registered yet
+        else:  # nothing registered yet
             known = s.createDataFrame([], "source_doc string, title string, date string, epoch bigint")
         df = df.persist()
         plan = write_plan(df, known)
