@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vaultlens.functions import replies
 from vaultlens.operators import audit, graph, plan, prompts, registry, rewrite
 from vaultlens.operators import similarity as sim
+from vaultlens.plans.runtime import numbered
 
 NOTE = "note_id bigint, path string, title string, note_type string, source_doc string, frontmatter string, body string, tags array<string>, links array<string>, words int"
 
@@ -280,3 +281,65 @@ def test_asking(spark):
     df = spark.createDataFrame([("p",), ("fail",)], "prompt string")
     got = {r.prompt: r.payload for r in prompts.ask(df, rewriter, tries=2, wait=0, continuations=1).collect()}
     assert got["fail"] is None and json.loads(got["p"]) == {"a": ["x"]}
+
+
+def test_batches_and_their_answers(spark):
+    rows = [(i, [i, i + 1]) for i in range(100, 112)]
+    groups = spark.createDataFrame(rows, "group_id bigint, notes array<bigint>")
+    df = notes(spark, *(note(i, f"T{i}", body="b") for i in range(100, 113)))
+    asked = prompts.group_prompts(groups, df).orderBy("batch").collect()
+    assert [r.groups for r in asked] == [list(range(100, 105)), list(range(105, 110)), [110, 111]] and "## Group 104" in asked[0].prompt
+    replied = spark.createDataFrame(
+        [(0, [100, 101], '{"groups": [{"group_id": 100, "is_duplicate": true, "confidence": 0.9, "canonical_title": "T"}, {"group_id": 105}]}'), (1, [105], None), (2, [110, 111], '{"groups": [{"group_id": 110}]}')],
+        "batch bigint, groups array<bigint>, payload string",
+    )
+    got = {r.group_id: (r.is_duplicate, r.confidence, r.canonical_title) for r in prompts.match_groups(replied).collect()}
+    assert got == {100: (True, 0.9, "T"), 110: (False, 0.0, None)}
+    pairs = spark.createDataFrame([(1, 5, 6), (2, 7, 8)], "pair_id bigint, a bigint, b bigint")
+    answers = spark.createDataFrame([('{"pairs": [{"pair_id": 2, "action": "merge", "confidence": 1}, {"pair_id": 9, "action": "link"}]}',), ('{"pairs": [{"pair_id": 1}]}',)], "payload string")
+    assert {(r.a, r.action, r.confidence) for r in prompts.match_pairs(answers, pairs).collect()} == {(7, "merge", 1.0), (5, "ignore", 0.0)}
+
+
+def test_rewriters_are_programs(tmp_path, monkeypatch):
+    known = {"none": ["/no/such/program"], "upper": ["tr", "a-z", "A-Z"], "copy": ["cat"]}
+    assert prompts.choose_rewriter(known)[0] == "upper" and prompts.choose_rewriter(known)[1]("ab") == "AB"
+    monkeypatch.setenv("VAULTLENS_REWRITER", "copy")
+    assert prompts.choose_rewriter(known)[0] == "copy" and prompts.choose_rewriter(known, "upper")[0] == "upper"
+    with pytest.raises(ValueError):
+        prompts.choose_rewriter(known, "other")
+    with pytest.raises(Exception):
+        prompts.command_rewriter(["sleep", "5"], timeout=0.2)("x")
+
+
+def test_numbers_and_orders(spark):
+    df = spark.createDataFrame([(k,) for k in range(1000, 0, -1)], "k int").repartition(7)
+    assert all(r.number == r.k - 1 for r in numbered(df, "k").collect()) and numbered(df.limit(0), "k").count() == 0
+    pairs = spark.createDataFrame([(3, 4, 0.8004, "B", "C"), (1, 2, 0.8001, "A", "C"), (5, 6, 0.9, "Z", "Z")], "a bigint, b bigint, score double, title_a string, title_b string")
+    assert [(r.a, r.score) for r in sim.report_order(pairs).collect()] == [(5, 0.9), (1, 0.8), (3, 0.8)]
+    assert {(r.a, r.pair_id) for r in sim.numbered_pairs(pairs).collect()} == {(1, 1), (3, 2), (5, 3)}
+    ties = [k / 10_000 for k in range(5, 10_000, 10)]
+    t = spark.createDataFrame([(x,) for x in ties], "x double").coalesce(1)
+    assert [r[0] for r in t.select(sim.rounded("x")).collect()] == [round(x, 3) for x in ties]
+    df = notes(spark, note(1, "A"), note(2, "A"), note(3, "B"))
+    assert {tuple(r) for r in sim.note_by_title(df).collect()} == {("A", 2), ("B", 3)}
+    acts = spark.createDataFrame([("merge",), ("link",), ("link",)], "action string")
+    assert tuple(sim.action_counts(acts).first()) == (3, 1, 2, 0)
+
+
+def test_staged_notes_in_order(spark):
+    staged = spark.createDataFrame([(1, 1, "moc", "a.md"), (1, 2, "atomic", "z.md"), (1, 3, None, "b — MOC.md"), (1, 4, "source", "c.md"), (2, 5, None, "x.md")], "plan_id bigint, id bigint, note_type string, file_name string")
+    assert {r.id: r.place for r in registry.write_order(staged).collect()} == {4: 1, 2: 2, 1: 3, 3: 4, 5: 1}
+    planned = spark.createDataFrame([("note",), ("moc",), ("note",), ("skipped",)], "counted_as string")
+    assert tuple(registry.tallies(planned).first()) == (2, 1, 1)
+
+
+def test_proposed_tags(spark):
+    rows = [(1, 0, 10, [("b", "r"), ("a", None)]), (1, 1, 11, [("b", "r"), ("c", "s")]), (1, 2, 12, None)]
+    df = spark.createDataFrame(rows, "plan_id bigint, ord int, plan_note_id bigint, proposed_new_tags array<struct<tag string, reason string>>")
+    assert [(r.place, r.tag) for r in plan.proposed_tag_log(df).orderBy("place").collect()] == [(1, "b"), (2, "a"), (3, "c")]
+    assert [len(r.proposed_new_tags) for r in plan.with_defaults(df).orderBy("ord").collect()] == [2, 2, 0]
+
+
+def test_title_of_a_merge(spark):
+    df = spark.createDataFrame([("Long title", "Short"), ("ab", "cd"), ("a b", "b a"), ("x  y", " x y")], "a string, b string")
+    assert [r[0] for r in df.coalesce(1).select(rewrite.canonical_title(F.col("a"), F.col("b"))).collect()] == ["Short", "ab", "a b", "x  y"]

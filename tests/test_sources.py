@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultlens.operators import apply
+from vaultlens.operators import plan as plan_ops
 from vaultlens.sources import docx, files, vault
 from vaultlens.streaming import incremental
 
@@ -37,6 +38,7 @@ def test_vault(spark, tree):
     assert {r.rel_path for r in df.collect()} == {k for k in TREE if k.endswith(".md") and not k.startswith(".archive")}
     assert vault.read_vault(spark, tree, skip_dirs="").count() == 7
     assert {r.stem for r in vault.read_vault(spark, tree, folder="Notes").collect()} == {"a", "empty", "_under"}
+    assert {r.stem for r in vault.read_vault(spark, "file://" + tree, exclude=["a.md", "none.md"], folder="Notes", files_per_partition="1").collect()} == {"empty", "_under"}
     strict = {r.rel_path: r for r in vault.strict_notes(df).collect()}
     a = strict["Notes/a.md"]
     assert (a.title, a.note_type, a.source_doc, a.date, a.tags, a.links) == ("Title A", "atomic", "S: 1", "2025-01-02", ["x/y"], ["B"])
@@ -50,6 +52,20 @@ def test_vault(spark, tree):
         vault.read_vault(spark, tree + "/none").count()
 
 
+def test_vault_of_many_folders(spark, tmp_path, monkeypatch):
+    """Folders below those that the driver lists are listed by the tasks."""
+    monkeypatch.setattr(vault, "TREES", 2)
+    want = set()
+    for k in range(12):
+        rel = f"f{k % 4}/g{k % 3}/h{k}/n{k}.md"
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_text(str(k))
+        want.add(rel)
+    (tmp_path / "f0/g0/.trash").mkdir()
+    (tmp_path / "f0/g0/.trash/x.md").write_text("x")
+    assert {r.rel_path for r in vault.read_vault(spark, str(tmp_path)).collect()} == want
+
+
 def test_bad_bytes(spark, tmp_path):
     (tmp_path / "x.md").write_bytes(b"a\xff")
     assert vault.read_vault(spark, str(tmp_path), errors="replace").first().is_valid is False
@@ -160,14 +176,118 @@ def test_merge_plan(spark, tmp_path):
     assert {tuple(r) for r in apply.title_map(groups, notes).collect()} == {("A", "A"), ("B", "A")}
 
 
-def test_command_line_writes_scan_registry_and_links_whole(spark, tmp_path, monkeypatch, capsys):
-    from vaultlens import __main__ as cli
+@pytest.fixture()
+def cli(spark, monkeypatch, capsys):
+    from vaultlens import __main__ as main
     from vaultlens.plans import session
 
+    monkeypatch.setattr(session, "local_session", lambda *a, **k: spark)
+
+    def run(*argv):
+        main.main([str(x) for x in argv])
+        return json.loads(capsys.readouterr().out)
+
+    return run
+
+
+def test_command_line_writes_scan_registry_and_links_whole(tmp_path, cli):
     for i in range(30):
         (tmp_path / f"n{i:02}.md").write_text(f"---\nnote_type: atomic\nsource_doc: s{i:02}\n---\n# T{i}\n[[missing {i}]]\n")
-    monkeypatch.setattr(session, "local_session", lambda *a, **k: spark)
-    for command, section, n in (("scan", "titles", 30), ("registry", "sources", 30), ("links", "unresolved", 30), ("audit", "findings", 7)):
-        monkeypatch.setattr("sys.argv", ["vaultlens", command, str(tmp_path), "--limit", "7"])
-        cli.main()
-        assert len(json.loads(capsys.readouterr().out)[section]) == n, command
+    for command, section, n in (("scan", "titles", 30), ("registry", "sources", 30), ("links", "unresolved", 30)):
+        assert len(cli(command, tmp_path)[section]) == n, command
+    got = cli("audit", tmp_path, "--limit", 7)
+    assert len(got["thin"]) == 7 and got["summary"]["thin"] == 30 and got["summary"]["similar"] >= 0 and got["empty"] == []
+    assert len(cli("scan", tmp_path, "--exclude", "n00.md", "--exclude", "n01.md")["titles"]) == 28
+
+
+def vault_of(tmp_path, **notes):
+    for name, text in notes.items():
+        p = tmp_path / "v" / "Notes" / f"{name}.md"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    return tmp_path / "v"
+
+
+def front(kind="atomic", source="s", tags=("a/b", "c/d")):
+    return f"---\ntags: [{', '.join(tags)}]\ndate: 2025-01-01\nsource_doc: {source}\nnote_type: {kind}\n---\n\n"
+
+
+def texts(root):
+    return {os.path.relpath(os.path.join(at, f), root): open(os.path.join(at, f)).read() for at, _, fs in os.walk(root) for f in fs}
+
+
+def test_commands_that_change_files_plan_first(tmp_path, cli):
+    v = vault_of(tmp_path, **{"Weekly review": front() + "One two three. [[X]]", "Weekly reviews": front() + "One two three four. [[Y]]", "Other": front("source") + "See [[Weekly reviews]].", "Empty": "", "Weekly plan": front(source="t") + "Some words."})
+    before = texts(v)
+    assert cli("archive-empty", v)["counts"] == {"archive": 1} and texts(v) == before
+    cli("archive-empty", v, "--apply", "--run-date", "2025-05-05")
+    assert ".archive/empty-notes/2025-05-05/Notes/Empty.md" in texts(v) and "Notes/Empty.md" not in texts(v)
+    got = cli("fix-similar", v, "--dry-run")
+    assert got["actions"] == {"candidates": 1, "merge": 1, "link": 0, "ignore": 0} and not got["applied"]
+    reg = tmp_path / "processed.json"
+    reg.write_text(json.dumps({"s": {"date": "2025", "note_titles": ["Weekly review", "Weekly reviews"]}}))
+    cli("fix-similar", v, "--apply", "--registry", reg, "--run-date", "2025-05-05")
+    now = texts(v)
+    assert "Notes/Weekly reviews.md" not in now and "[[Weekly review]]" in now["Notes/Other.md"] and ".archive/2025-05-05_dedup_Weekly review.md" in now
+    assert "One two three four." in now["Notes/Weekly review.md"] and json.loads(reg.read_text())["s"]["note_titles"] == ["Weekly review"]
+    assert cli("enrich-thin", v, "--apply")["counts"]["write"] == 2 and "## Practical Notes" in texts(v)["Notes/Weekly plan.md"]
+    once = texts(v)
+    cli("enrich-thin", v, "--apply")
+    assert texts(v) == once
+    assert cli("fix-atomic", v, "--threshold", "0.2", "--apply")["applied"] and "[[Weekly review]]" in texts(v)["Notes/Weekly plan.md"]
+    (tmp_path / "m.json").write_text('{"Weekly review": "W"}')
+    assert cli("relink", v, "--map", tmp_path / "m.json")["counts"]["write"] >= 1
+    log = tmp_path / "reviewed.json"
+    pair = cli("dedup", v, "--threshold", "0.4")["groups"]
+    log.write_text(json.dumps({"reviewed": [{"titles": sorted(os.path.basename(pair[0][k])[:-3] for k in ("path_a", "path_b")), "decision": "keep"}]}))
+    assert len(cli("dedup", v, "--threshold", "0.4", "--reviewed", log)["groups"]) == len(pair) - 1
+
+
+def test_plans_are_generated_and_written(tmp_path, cli):
+    note = lambda i, title, kind: {"id": f"n{i}", "title": title, "note_type": kind, "tags": ["a/b", "c/d"], "source_doc": "s", "date": "2025-01-02", "body": "Body"}
+    plan = tmp_path / "plan.json"
+    plan.write_text(json.dumps({"notes": [note(1, "A: b", "atomic"), note(2, "S — MOC", "moc"), note(3, "Known", "atomic")]}))
+    cli("generate", tmp_path / "staged", "--plan", plan, "--apply")
+    assert sorted(texts(tmp_path / "staged")) == ["A- b.md", "Known.md", "S — MOC.md"]
+    reg = tmp_path / "processed.json"
+    reg.write_text(json.dumps({"s": {"date": "", "note_titles": ["Known"]}}))
+    got = cli("write", tmp_path / "v", "--plan", plan, "--registry", reg, "--apply")
+    assert got["counts"] == {"notes": 1, "mocs": 1, "skipped": 1} and got["violations"] == []
+    assert sorted(texts(tmp_path / "v")) == ["MOCs/S — MOC.md", "Notes/A- b.md"]
+    assert json.loads(reg.read_text()) == {"s": {"source_doc": "s", "date": "2025-01-02", "note_count": 3, "note_titles": ["A: b", "Known", "S — MOC"]}}
+    assert cli("doctor", tmp_path / "v", "--registry", reg)["drift"] == [{"source_doc": "s", "noted": 3, "found": 2}]
+    out = tmp_path / "out.json"
+    from vaultlens import __main__ as main
+
+    main.main(["registry", str(tmp_path / "v"), "--output", str(out), "--registry", str(tmp_path / "new.json"), "--apply"])
+    assert json.loads(out.read_text())["sources"][0]["note_count"] == 2 and len(json.loads((tmp_path / "new.json").read_text())["s"]["note_titles"]) == 2
+
+
+RESULT = "note_id bigint, plan_note_id bigint, title string, tags array<string>, source_doc string, note_date string, note_type string, body string, original_title string"
+
+
+def test_enriched_and_split_notes_are_written_back(spark, tmp_path):
+    v = vault_of(tmp_path, A="old a", B="old b", C="old c", D="old d")
+    row = lambda i, title, was: (i, i, title, ["x/y"], "s", "d", "atomic", f"new {i}", was)
+    results = spark.createDataFrame([row(1, "A", "A"), row(2, "New B", "B"), row(3, "New C", None)], RESULT)
+    notes = spark.createDataFrame([(k + 1, f"Notes/{n}.md") for k, n in enumerate("ABCD")], "note_id bigint, path string")
+    apply.apply_plan(apply.enrich_plan(results, notes, "2025-01-01"), str(v), dry_run=False)
+    now = texts(v)
+    assert sorted(now) == [".archive/2025-01-01_B.md", "Notes/A.md", "Notes/C.md", "Notes/D.md", "Notes/New B.md"]
+    assert now["Notes/A.md"].endswith("new 1\n") and now["Notes/C.md"].endswith("new 3\n")
+    assert {tuple(r) for r in apply.enriched_titles(results, run_date="d").collect()} == {("Личная заметка", t, "d") for t in ("A", "New B", "New C")}
+    planned = spark.createDataFrame([(2, "create", "Notes"), (1, "skip", None)], "id bigint, action string, folder string")
+    apply.apply_plan(apply.split_plan(planned, plan_ops.render(results), notes.where("note_id = 4"), "2025-01-01"), str(v), dry_run=False)
+    assert ".archive/2025-01-01_D.md" in texts(v) and "Notes/D.md" not in texts(v)
+
+
+def test_logs_and_rule_texts(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b/c", None), (1, "a/b", "why")], "place int, tag string, reason string")
+    log = str(tmp_path / "x" / "tags.md")
+    assert files.append_tag_log(log, rows.limit(0), "2025-01-01", "doc") == 0 and files.append_tag_log(log, rows, "2025-01-01", "doc") == 2
+    assert open(log).read() == files.TAG_LOG + "\n## 2025-01-01 — doc\n\n- `a/b`: why\n- `b/c`: \n"
+    (tmp_path / "r1.md").write_text("one\n")
+    (tmp_path / "r2.md").write_text("two")
+    assert files.load_texts(str(tmp_path), ["r1.md", "r2.md"]) == "one\n\ntwo"
+    with pytest.raises(FileNotFoundError):
+        files.load_texts(str(tmp_path), ["r3.md"])

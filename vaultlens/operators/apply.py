@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultlens.operators.plan import render
+from vaultlens.operators.plan import last_per_name, render
+from vaultlens.operators.rewrite import archive_path
 
 
 def _put(path: str, content: str) -> None:
@@ -84,6 +85,59 @@ def archive_plan(notes: DataFrame, run_date: str, mark: str = "") -> DataFrame:
     return j.select(F.lit("archive").alias("op"), "path", dest.alias("dest"), F.lit(None).cast("string").alias("content"))
 
 
+def import_plan(planned: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Write operations of an import: planned is registry.write_plan(), rendered has plan_note_id, file_name and content.
+
+    Notes that are skipped write nothing; of notes with one destination the
+    last one counts, as later files replace earlier ones.
+    """
+    j = planned.where("action <> 'skip'").join(rendered, F.col("id") == F.col("plan_note_id"))
+    files = j.groupBy(F.concat("folder", F.lit("/"), "file_name").alias("path")).agg(F.max_by("content", "id").alias("content"))
+    return files.select(F.lit("write").alias("op"), "path", F.lit(None).cast("string").alias("dest"), "content")
+
+
+def staged_plan(rendered: DataFrame) -> DataFrame:
+    """Write operations that put rendered notes into a staging folder."""
+    return last_per_name(rendered).select(F.lit("write").alias("op"), F.col("file_name").alias("path"), F.lit(None).cast("string").alias("dest"), "content")
+
+
+def rewrite_plan(notes: DataFrame) -> DataFrame:
+    """Write operations for notes (path, content) rewritten where they are."""
+    return notes.select(F.lit("write").alias("op"), "path", F.lit(None).cast("string").alias("dest"), "content")
+
+
+def empty_plan(notes: DataFrame, stamp: str) -> DataFrame:
+    """Archive operations for empty notes (path), folders kept."""
+    return notes.select(F.lit("archive").alias("op"), "path", archive_path(F.col("path"), stamp).alias("dest"), F.lit(None).cast("string").alias("content"))
+
+
+def enrich_plan(results: DataFrame, notes: DataFrame, run_date: str, folder: str = "Notes") -> DataFrame:
+    """Operations that write enriched notes back.
+
+    results has note_id, the fields of a planned note (plan_note_id, title,
+    tags, source_doc, note_date, note_type, body) and original_title; notes
+    has note_id and path. Under its old title, or where the result names no
+    old one, a note is rewritten in place; under a new one it goes to the
+    notes' folder and the original to the archive.
+    """
+    j = results.join(render(results), "plan_note_id").join(notes.select("note_id", "path"), "note_id")
+    same = F.col("title") == F.coalesce("original_title", "title")
+    old = j.where(~same).select("path", F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem")).distinct()
+    new = j.select(F.when(same, F.col("path")).otherwise(F.concat(F.lit(f"{folder}/"), "file_name")).alias("path"), "note_id", "content")
+    return archive_plan(old, run_date).unionByName(rewrite_plan(new.groupBy("path").agg(F.max_by("content", "note_id").alias("content"))))
+
+
+def enriched_titles(results: DataFrame, source: str = "Личная заметка", run_date: str = "") -> DataFrame:
+    """Registry rows (source_doc, title, date) of enriched notes, for registry.upsert()."""
+    return results.select(F.lit(source).alias("source_doc"), "title", F.lit(run_date).alias("date")).distinct()
+
+
+def split_plan(planned: DataFrame, rendered: DataFrame, originals: DataFrame, run_date: str) -> DataFrame:
+    """Operations that replace notes (path) by the planned notes they were split into, and archive them."""
+    old = originals.select("path", F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem")).distinct()
+    return archive_plan(old, run_date).unionByName(import_plan(planned, rendered))
+
+
 def merge_plan(groups: DataFrame, notes: DataFrame, run_date: str, folder: str = "Notes") -> DataFrame:
     """Archive and write operations that merge confirmed groups into their canonical notes.
 

@@ -55,6 +55,11 @@ def audit_summary(notes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+def with_similar(summary: DataFrame, pairs: DataFrame) -> DataFrame:
+    """An audit_summary() with the number of similar pairs."""
+    return summary.join(pairs.agg(F.count("*").alias("similar")))
+
+
 def detect_mode(notes: DataFrame) -> DataFrame:
     """note_id and mode: skip, too_short, atomize or enrich, in this order of checks.
 

@@ -10,6 +10,8 @@ others by a shuffled join; both parts are united.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from vaultlens.plans.runtime import counting_rows, materialize, read_table
 
 #: A key with this share of all references or more is heavy: at most 500 keys are.
 HEAVY_SHARE = 0.002
+#: Intervals of heavy keys up to which they are broadcast; beyond, the join is left to the planner.
+FEW_INTERVALS = 100_000
 
 
 def merged_intervals(spans: DataFrame) -> DataFrame:
@@ -45,7 +49,7 @@ def orphan_references(refs: DataFrame, spans: DataFrame, *, heavy_share: float =
     Repeated references stay repeated. Columns may have any further names but
     those starting with two underscores.
     """
-    live = merged_intervals(spans)
+    live = materialize(merged_intervals(spans), "intervals")
     refs = refs.where(F.col("key").isNotNull()).withColumn("__month", F.trunc("ts", "month"))
     periods = materialize(refs.groupBy("key", "__month").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")), "periods")
     # of each key and month: does one interval hold all its references, does any meet them
@@ -67,12 +71,15 @@ def orphan_references(refs: DataFrame, spans: DataFrame, *, heavy_share: float =
 
     hot = judged(refs.join(heavy, "key", "left_semi"), F.broadcast(verdict.join(heavy, F.col("__key") == F.col("key"), "left_semi")))
     cold = judged(refs.join(heavy, "key", "left_anti"), verdict)
-    open_ = hot.unionByName(cold)
-    sure = open_.where(~F.col("__met"))
-    mixed = open_.where(F.col("__met"))
     at = live.withColumnsRenamed({"key": "__key"})
-    exact = mixed.join(at, (F.col("key") == F.col("__key")) & (F.col("ts") >= F.col("since")) & (F.col("ts") < F.col("until")), "left_anti")
-    return sure.unionByName(exact).drop("__month", "__met")
+    held = at.join(heavy, F.col("__key") == F.col("key"), "left_semi")
+    if held.limit(FEW_INTERVALS + 1).count() <= FEW_INTERVALS:
+        held = F.broadcast(held)
+    inside = (F.col("key") == F.col("__key")) & (F.col("ts") >= F.col("since")) & (F.col("ts") < F.col("until"))
+    parts = []
+    for part, of in ((hot, held), (cold, at)):
+        parts += [part.where(~F.col("__met")), part.where("__met").join(of, inside, "left_anti")]
+    return reduce(DataFrame.unionByName, parts).drop("__month", "__met")
 
 
 def note_references(notes: DataFrame) -> DataFrame:
@@ -98,13 +105,13 @@ def vault_orphans(notes: DataFrame, plans: DataFrame, titles: DataFrame, mocs: D
     """Orphan references of the vault's tables: src_table, src_id, target, ref_month.
 
     Null, blank and repeated links are no references; an empty table gives no
-    rows. moc_catalog is a fixed table and is broadcast.
+    rows.
     """
     p = materialize(plan_rows(plans), "plans")
     own = p.where("title is not null and plan_id is not null").select("plan_id", F.col("title").alias("key")).distinct()
     refs = note_references(notes).unionByName(plan_references(p).join(own, ["plan_id", "key"], "left_anti").select("src_table", "src_id", "plan_id", "key", "ts"))
     fixed = mocs.select(T.title_key("title").alias("key")).where("key is not null").distinct()
-    refs = materialize(refs.drop("plan_id").join(F.broadcast(fixed), "key", "left_anti"), "references")
+    refs = materialize(refs.drop("plan_id").join(fixed, "key", "left_anti"), "references")
     spans = titles.select(T.title_key("title").alias("key"), F.col("created_at").alias("since"), F.col("archived_at").alias("until"))
     lost = orphan_references(refs, spans)
     return lost.select("src_table", "src_id", F.col("key").alias("target"), F.date_format("ts", "yyyy-MM").alias("ref_month"))

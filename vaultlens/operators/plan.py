@@ -39,7 +39,7 @@ def missing_keys(raw: Column, required: list[str] = REQUIRED) -> Column:
 def unknown_tags(plans: DataFrame, allowed: DataFrame) -> DataFrame:
     """plan_note_id and tag for each use of a tag outside the taxonomy (allowed: tag)."""
     used = plans.select("plan_note_id", F.explode("tags").alias("tag")).where("tag is not null")
-    return used.join(F.broadcast(allowed.select("tag").where("tag is not null").distinct()), "tag", "left_anti").select("plan_note_id", "tag")
+    return used.join(allowed.select("tag").where("tag is not null").distinct(), "tag", "left_anti").select("plan_note_id", "tag")
 
 
 def orphan_links(plans: DataFrame, vault_titles: DataFrame | None = None) -> DataFrame:
@@ -52,6 +52,19 @@ def orphan_links(plans: DataFrame, vault_titles: DataFrame | None = None) -> Dat
     return lost.select("plan_note_id", "target")
 
 
+def with_defaults(plans: DataFrame) -> DataFrame:
+    """Plans whose notes all have a list of proposed tags, empty where they came without."""
+    none = F.array().cast(plans.schema["proposed_new_tags"].dataType)
+    return plans.withColumn("proposed_new_tags", F.coalesce("proposed_new_tags", none))
+
+
+def proposed_tag_log(plans: DataFrame) -> DataFrame:
+    """plan_id, place, tag and reason: the proposals of a plan in the order in which they first occur, each entry once."""
+    each = plans.select("plan_id", "ord", "plan_note_id", F.posexplode("proposed_new_tags").alias("nth", "x")).where("x is not null")
+    first = each.groupBy("plan_id", "x.tag", "x.reason").agg(F.min(F.struct("ord", "plan_note_id", "nth")).alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("plan_id").orderBy("at"))).select("plan_id", "place", "tag", "reason")
+
+
 def proposed_tags(plans: DataFrame) -> DataFrame:
     """plan_id, tag and reason of the proposals of a plan, each entry once."""
     return plans.select("plan_id", F.inline("proposed_new_tags")).select("plan_id", "tag", "reason").distinct()

@@ -7,7 +7,7 @@ its titles never become one value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultlens.functions import text as T
@@ -68,6 +68,19 @@ def write_plan(staged: DataFrame, registered: DataFrame, *, on_conflict: str = "
     )
 
 
+def write_order(staged: DataFrame) -> DataFrame:
+    """plan_id, id and place of staged notes (plan_id, id, note_type, file_name): maps of content last, each part by name."""
+    moc = (F.coalesce("note_type", F.lit("")) == "moc") | F.col("file_name").endswith(" — MOC.md")
+    w = Window.partitionBy("plan_id").orderBy(moc, "file_name", "id")
+    return staged.select("plan_id", "id", F.row_number().over(w).alias("place"))
+
+
+def tallies(planned: DataFrame) -> DataFrame:
+    """What write_plan() counts in one row: notes (all but maps of content), mocs and skipped ones."""
+    count = lambda kind: F.count_if(F.col("counted_as") == kind)
+    return planned.agg(count("note").alias("notes"), count("moc").alias("mocs"), count("skipped").alias("skipped"))
+
+
 def supplement(staged: DataFrame, plan: DataFrame) -> DataFrame:
     """Fill empty note_type and source_doc from the plan by title; of equal titles the last in the plan wins."""
     last = plan.where("title is not null").groupBy("title").agg(F.max_by(F.struct("note_type", "source_doc"), F.struct("plan_id", "ord", "plan_note_id")).alias("p"))

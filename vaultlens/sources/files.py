@@ -75,6 +75,42 @@ def read_plans(spark: SparkSession, path: str) -> DataFrame:
     return files.select("plan", F.posexplode(F.arrays_zip(typed.alias("note"), raw.alias("raw"))).alias("ord", "x")).select("plan", "ord", "x.note.*", "x.raw")
 
 
+def write_registry(path: str, rows: DataFrame) -> None:
+    """Replace a JSON registry by rows (source_doc, title, date); titles are sorted and counted.
+
+    A registry is one document, so it is written by the driver, which gets one
+    source after another.
+    """
+    out: dict = {}
+    for r in rows.select("source_doc", "title", "date").orderBy("source_doc", "title").toLocalIterator():
+        of = out.setdefault(r.source_doc, {"source_doc": r.source_doc, "date": r.date or "", "note_count": 0, "note_titles": []})
+        if r.title not in of["note_titles"][-1:]:
+            of["note_titles"].append(r.title)
+            of["note_count"] += 1
+        of["date"] = of["date"] or r.date or ""
+    write_json(path, out)
+
+
+#: How a log of proposed tags begins.
+TAG_LOG = "# Proposed New Tags\n\nTags that are not in the taxonomy yet. Review them and add what fits.\n"
+
+
+def append_tag_log(path: str, proposals: DataFrame, run_date: str, source: str) -> int:
+    """Append one plan's proposals (place, tag, reason) to a log, which begins with a header; the number of proposals."""
+    rows = proposals.orderBy("place").toLocalIterator()
+    lines = [f"- `{r.tag or '<unknown>'}`: {r.reason or ''}" for r in rows]
+    new = not os.path.exists(path)
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "a", encoding="utf-8") as f:
+        f.write(TAG_LOG * new + ("\n".join(["", f"## {run_date} — {source}", "", *lines, ""]) if lines else ""))
+    return len(lines)
+
+
+def load_texts(folder: str, names: list[str]) -> str:
+    """Rule texts of a folder, one after the other, for the prompts; a missing one is an error."""
+    return "\n\n".join(Path(folder, n).read_text("utf-8").strip() for n in names)
+
+
 def write_json(path: str, value: object) -> None:
     """Replace a JSON file in one step: a temporary file beside it, then a rename."""
     fd, tmp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")

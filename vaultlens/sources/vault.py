@@ -2,8 +2,10 @@
 
 Spark's text and binary sources leave out empty files and paths that begin
 with _ or a dot, and escape names; this source lists the tree itself, leaves
-out only the folders it is told to, reads texts with universal newlines and
-can narrow the walk to a folder before any file is opened.
+out only the folders and files it is told to, reads texts with universal
+newlines and can narrow the walk to a folder before any file is opened. The
+path is a local one or a URI of any file system that Arrow reads; the driver
+lists the upper folders only, each task lists and reads the trees below them.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,52 +29,84 @@ SKIP_DIRS = (".obsidian", ".trash", ".smart-env", ".archive", ".git")
 SCHEMA = "path string, rel_path string, folder string, stem string, text string, is_valid boolean"
 
 
-class _Files(InputPartition):
-    def __init__(self, root: str, rel: list[str], errors: str):
-        self.root, self.rel, self.errors = root, rel, errors
+#: Trees into which the driver divides a vault before tasks go on listing.
+TREES = 64
+
+
+class _Part(InputPartition):
+    def __init__(self, files: list[str], trees: list[str]):
+        self.files, self.trees = files, trees
 
 
 class VaultReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root = os.path.abspath(options["path"])
-        self.folder = options.get("folder", "")
+        given = options["path"]
+        self.uri = given.rstrip("/") if "://" in given else os.path.abspath(given)
+        self.folder = options.get("folder", "").strip("/")
         self.skip = {s for s in options.get("skip_dirs", ",".join(SKIP_DIRS)).split(",") if s}
+        self.exclude = {s for s in options.get("exclude", "").split("\n") if s}
         self.errors = options.get("errors", "strict")
         self.per = int(options.get("files_per_partition", 500))
 
+    def _open(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.uri) if "://" in self.uri else (fs.LocalFileSystem(), self.uri)
+
+    def _list(self, at: fs.FileSystem, root: str, tree: str) -> tuple[list[str], list[str]]:
+        """Files and folders right below a tree, relative to the vault."""
+        files, trees = [], []
+        for x in at.get_file_info(fs.FileSelector(f"{root}/{tree}" if tree else root)):
+            rel = f"{tree}/{x.base_name}" if tree else x.base_name
+            if x.base_name in self.skip:
+                continue
+            if x.type == fs.FileType.Directory:
+                trees.append(rel)
+            elif rel.endswith(".md") and x.base_name not in self.exclude:
+                files.append(rel)
+        return sorted(files), sorted(trees)
+
     def partitions(self) -> list[InputPartition]:
-        top = os.path.join(self.root, self.folder) if self.folder else self.root
-        if not os.path.isdir(top):
-            raise FileNotFoundError(top)
-        rel = []
-        for at, dirs, files in os.walk(top):
-            dirs[:] = sorted(d for d in dirs if d not in self.skip)
-            rel += [os.path.relpath(os.path.join(at, f), self.root) for f in files if f.endswith(".md") and f not in self.skip]
-        rel.sort()
-        return [_Files(self.root, rel[k : k + self.per], self.errors) for k in range(0, len(rel), self.per)] or [_Files(self.root, [], self.errors)]
-
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in range(6)]
-        for rel in partition.rel:
-            path = os.path.join(partition.root, rel)
-            with open(path, "rb") as f:
-                raw = f.read()
-            try:
-                text, valid = raw.decode("utf-8"), True
-            except UnicodeDecodeError:
-                if partition.errors == "strict":
-                    raise
-                text, valid = raw.decode("utf-8", "replace"), False
-            text = text.replace("\r\n", "\n").replace("\r", "\n")
-            row = (path, rel, os.path.dirname(rel), os.path.basename(rel)[:-3], text, valid)
-            for c, x in zip(cols, row):
-                c.append(x)
-        types = [pa.string()] * 5 + [pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        at, root = self._open()
+        if at.get_file_info(f"{root}/{self.folder}" if self.folder else root).type != fs.FileType.Directory:
+            raise FileNotFoundError(f"{self.uri}/{self.folder}")
+        files: list[str] = []
+        trees = [self.folder]
+        while trees and len(trees) < TREES:
+            found = [self._list(at, root, t) for t in trees]
+            files += [f for of, _ in found for f in of]
+            trees = [t for _, of in found for t in of]
+        parts = [_Part(files[k : k + self.per], []) for k in range(0, len(files), self.per)]
+        return [*parts, *(_Part([], [t]) for t in trees)] or [_Part([], [])]
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        at, root = self._open()
+        yield from self._batches(at, root, partition.files)
+        trees = list(partition.trees)
+        while trees:
+            files, more = self._list(at, root, trees.pop())
+            trees += more
+            yield from self._batches(at, root, files)
+
+    def _batches(self, at: fs.FileSystem, root: str, files: list[str]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(files), self.per):
+            rows = [self._row(at, root, rel) for rel in files[k : k + self.per]]
+            types = [pa.string()] * 5 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    def _row(self, at: fs.FileSystem, root: str, rel: str) -> tuple:
+        with at.open_input_stream(f"{root}/{rel}", compression=None) as f:
+            raw = f.read()
+        try:
+            text, valid = raw.decode("utf-8"), True
+        except UnicodeDecodeError:
+            if self.errors == "strict":
+                raise
+            text, valid = raw.decode("utf-8", "replace"), False
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+        return f"{self.uri}/{rel}", rel, os.path.dirname(rel), os.path.basename(rel)[:-3], text, valid
 
 
 class VaultSource(DataSource):
-    """Format 'vault': options path, folder, skip_dirs, errors (strict or replace), files_per_partition."""
+    """Format 'vault': options path, folder, skip_dirs (by commas), exclude (file names, by line), errors (strict or replace), files_per_partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,9 +119,10 @@ class VaultSource(DataSource):
         return VaultReader(dict(self.options))
 
 
-def read_vault(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_vault(spark: SparkSession, path: str, *, exclude: list[str] | tuple[str, ...] = (), **options: str) -> DataFrame:
+    """The files of a vault; exclude names files, wherever they are, that are left out unread."""
     spark.dataSource.register(VaultSource)
-    return spark.read.format("vault").options(path=path, **options).load()
+    return spark.read.format("vault").options(path=path, exclude="\n".join(exclude), **options).load()
 
 
 def strict_notes(files: DataFrame) -> DataFrame:
