@@ -228,3 +228,30 @@ def test_canonical_fields(spark):
     sources = spark.createDataFrame([("s1", 9), ("S2", 3)], "source_doc string, trust int")
     v = consensus.member_values(groups, notes, sources)
     assert {tuple(r) for r in consensus.representatives(v, ordered=True).collect()} == {(1, "title", 3), (1, "tags", 2), (1, "body", 2)}
+
+
+def test_groups_of_near_copies(spark):
+    """Links and groups from classes of copies are those of all pairs."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(3))
+    texts, kinds = {}, []
+    for i in range(60):
+        if kinds and rnd.random() < 0.7:
+            w = list(rnd.choice(kinds))
+            if rnd.random() < 0.6:
+                for _ in range(3):
+                    w[rnd.randrange(len(w))] = word()
+        else:
+            w = [word() for _ in range(40)]
+        kinds.append(w)
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame([(i, x, 1) for i, x in texts.items()] + [(99, None, 2)], "id bigint, text string, n int")
+    pairs = brute_copies(texts)
+    links = defaultdict(int)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    root = closure(pairs, links)
+    got = {r.id: (r.group_id, r.links) for r in nearcopies.near_groups(df).collect()}
+    assert got == {i: (root[i], n) for i, n in links.items()} and len(got) > 20
+    assert nearcopies.near_groups(df.limit(0)).collect() == []

@@ -1,6 +1,7 @@
 """Splitting, encoding, packing and truncation: round trips, exact equality, capacity, planted cuts."""
 
 import os
+import hashlib
 import random
 
 import pytest
@@ -235,3 +236,29 @@ def test_limits_below_the_longest_text(spark):
     df = spark.createDataFrame([(i, s, t) for i, (s, t, _) in enumerate(rows)], "doc_id bigint, source string, text string")
     got = {r.doc_id: r.cut for r in truncation.truncated(df).collect()}
     assert {i for i, c in got.items() if c} == {i for i, r in enumerate(rows) if r[2]}
+
+
+def test_pieces_make_up_their_text(spark):
+    rows = [("a", 1, "First one. Second one is here.\n\nThird " * 9, 40, 7), ("a", 2, None, 10, 1), ("a", 3, "", 10, 1), ("a", 4, "x" * 95, 10, 30), ("b", 5, "короткий", 100, None)]
+    items = spark.createDataFrame([(*r, "t") for r in rows], "item_kind string, item_id bigint, text string, max_chars int, overlap_chars int, piece string")
+    got = {r.item_id: (r.digest, r.fits, r.shared) for r in splitting.reassembled(splitting.split_items(items)).collect()}
+    assert got == {i: (hashlib.md5(t.encode()).hexdigest(), True, True) for _, i, t, *_ in rows if t}
+
+
+def test_decode(spark):
+    texts = ["", None, "a b", "Ж" * 40, "  x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in tokenize.decode(tokenize.encode(df)).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    kept = tokenize.token_counts(df.withColumn("source", F.lit("s")), keep=("source",)).collect()
+    assert {(r.doc_id, r.source) for r in kept} == {(i, "s") for i in range(5)}
+
+
+def test_known_beginnings(spark):
+    rnd = random.Random(1)
+    word = lambda n: "".join(rnd.choice("abя") for _ in range(n))
+    words = {word(rnd.randint(1, 9)) for _ in range(300)} | {"x" * 3000}
+    asked = {word(rnd.randint(1, 9)) for _ in range(300)} | {"x" * 2999, "x" * 3000, "x"}
+    got = truncation.known_beginnings(spark.createDataFrame([(x,) for x in asked], "word string"), spark.createDataFrame([(x,) for x in words], "word string"))
+    found = [r.word for r in got.collect()]
+    want = {a for a in asked if any(w != a and w.startswith(a) for w in words)}
+    assert len(found) == len(set(found)) and {f for f in found if f not in words} == {w for w in want if w not in words} and set(found) <= want

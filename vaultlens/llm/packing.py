@@ -182,6 +182,18 @@ def p8_containers(spark, sf_dir: str) -> DataFrame:
     return pack(counts, _kinds(spark, sf_dir))
 
 
+def p8_checked(spark, sf_dir: str) -> DataFrame:
+    """Of each kind of container: documents placed, containers above the capacity, documents torn that would have fitted, tokens lost."""
+    counts = materialize(token_counts(read_table(spark, sf_dir, "documents")), "counts")
+    sizes = read_table(spark, sf_dir, "container_sizes")
+    placed = materialize(pack(counts, _kinds(spark, sf_dir)), "placed")
+    full = placed.where("container_id is not null").groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("t")).join(sizes, "container_kind").groupBy("container_kind").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
+    of = placed.groupBy("container_kind", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("t")).join(counts, "doc_id").join(sizes, "container_kind")
+    torn = F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens")))
+    each = of.groupBy("container_kind").agg(F.count("*").alias("docs"), torn.alias("torn"), F.sum(F.abs(F.col("t") - F.col("n_tokens"))).alias("lost"))
+    return each.join(full, "container_kind").select("container_kind", "docs", "overfull", "torn", "lost")
+
+
 def p8_fill(spark, sf_dir: str) -> DataFrame:
     """How well the containers of each kind are filled: containers, pieces, tokens and the share used."""
     c = p8_containers(spark, sf_dir).where("container_id is not null")

@@ -108,6 +108,26 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).where(F.size("pieces") > 1).select("item_kind", "item_id")
 
 
+def reassembled(pieces: DataFrame) -> DataFrame:
+    """item_kind, item_id, digest, fits and shared: the text that the pieces of an item make up again, whether all keep the limit and share the overlap.
+
+    pieces has item_kind, item_id, pieces and the limits; an item's pieces are
+    as long as its text, so each row is put together by itself.
+    """
+    after = F.slice("pieces", 2, F.greatest(F.lit(0), F.size("pieces") - 1))
+    joints = F.zip_with(F.slice("pieces", 1, F.size(after)), after, lambda a, b: a["end"] - b["start"])
+    rest = F.zip_with(after, joints, lambda x, n: F.substring(x["piece"], n + 1, F.length(x["piece"])))
+    text = F.concat(F.get("pieces", F.lit(0))["piece"], F.array_join(rest, ""))
+    wanted = F.greatest(F.lit(0), F.least(F.coalesce("overlap_chars", F.lit(0)), F.col("max_chars") - 1))
+    within = F.forall("pieces", lambda x: (F.length(x["piece"]) <= F.col("max_chars")) & (F.length(x["piece"]) == x["end"] - x["start"]))
+    return pieces.where(F.size("pieces") > 0).select("item_kind", "item_id", F.md5(text.cast("binary")).alias("digest"), within.alias("fits"), F.forall(joints, lambda n: n == wanted).alias("shared"))
+
+
+def p5_whole(spark, sf_dir: str) -> DataFrame:
+    """Whether the pieces of each item are within the limit, share the overlap and make up its text."""
+    return reassembled(_items(spark, sf_dir))
+
+
 def p5_pieces(spark, sf_dir: str) -> DataFrame:
     """All pieces: item_kind, item_id, piece_no, start, end, piece."""
     return _items(spark, sf_dir).select("item_kind", "item_id", F.posexplode("pieces").alias("piece_no", "p")).select("item_kind", "item_id", "piece_no", "p.*")

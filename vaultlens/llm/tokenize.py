@@ -132,25 +132,41 @@ def encode(docs: DataFrame, *, folder: str = TOKENIZERS, name: str = "byte_bpe_5
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, "doc_id bigint, ids array<int>")
 
 
-def token_counts(docs: DataFrame, *, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """doc_id and n_tokens of each row of docs, by the same encoder; 0 for null and empty text."""
+def token_counts(docs: DataFrame, *, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens and the columns to keep of each row of docs, by the same encoder; 0 for null and empty text."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)
         for b in it:
             n = pa.array([len(enc(t)) for t in b.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, *(b.column(c) for c in keep)], names=["doc_id", "n_tokens", *keep])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, "doc_id bigint, n_tokens bigint")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", *keep).mapInArrow(batches, f"doc_id bigint, n_tokens bigint{kept}")
+
+
+def decode(ids: DataFrame, *, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """doc_id and text of each row of ids (doc_id, ids): the bytes of its tokens put together; no ids are the empty text."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(folder, name).bpe
+        for b in it:
+            texts = pa.array([bpe.decode_bytes(i or []).decode("utf-8", "replace") for i in b.column("ids").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts], names=["doc_id", "text"])
+
+    return ids.select("doc_id", "ids").mapInArrow(batches, "doc_id bigint, text string")
 
 
 def p7_ids(spark, sf_dir: str) -> DataFrame:
     return encode(read_table(spark, sf_dir, "documents"))
 
 
+def p7_roundtrip(spark, sf_dir: str) -> DataFrame:
+    """doc_id and digest of the text that the ids of each document make up again."""
+    return decode(p7_ids(spark, sf_dir)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def p7_tokens(spark, sf_dir: str) -> DataFrame:
-    """Tokens per source and language, the corpus' size for planning."""
-    docs = read_table(spark, sf_dir, "documents")
-    n = token_counts(docs)
-    meta = docs.select("doc_id", "source", "n_chars")
-    return n.join(meta, "doc_id").groupBy("source").agg(F.count("*").alias("texts"), F.sum("n_tokens").alias("tokens"), F.sum("n_chars").alias("chars"))
+    """Texts, tokens and characters per source, the corpus' size for planning."""
+    n = token_counts(read_table(spark, sf_dir, "documents"), keep=("source", "n_chars"))
+    return n.groupBy("source").agg(F.count("*").alias("texts"), F.sum("n_tokens").alias("tokens"), F.sum("n_chars").alias("chars"))
