@@ -45,7 +45,7 @@ def group_prompts(groups: DataFrame, notes: DataFrame, *, words: int = 300, size
     of note ids.
     """
     g = groups.select("group_id", F.explode(F.array_distinct("notes")).alias("note_id"))
-    part = F.concat(F.lit("### "), F.col("title"), F.lit("\nTags: "), F.array_join("tags", ", "), F.lit("\nSource: "), F.col("source_doc"), F.lit("\nWords: "), F.col("words").cast("string"), F.lit("\n\n"), T.first_words("body", words))
+    part = F.concat(F.lit("### "), F.col("title"), F.lit("\nTags: "), F.array_join(F.array_sort("tags"), ", "), F.lit("\nSource: "), F.col("source_doc"), F.lit("\nWords: "), F.col("words").cast("string"), F.lit("\n\n"), T.first_words("body", words))
     j = g.join(notes, "note_id").groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("note_id", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("text"))
     b = numbered(j, "group_id").withColumn("batch", F.floor(F.col("number") / size))
     return b.groupBy("batch").agg(F.array_sort(F.collect_list("group_id")).alias("groups"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_id", F.concat(F.lit("## Group "), F.col("group_id").cast("string"), F.lit("\n\n"), "text").alias("t")))), lambda x: x["t"]), "\n\n---\n\n").alias("prompt"))

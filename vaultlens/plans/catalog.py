@@ -10,7 +10,7 @@ from vaultlens.functions import text as T
 from vaultlens.operators import apply, audit, graph, orphans, plan, prompts, registry, rewrite
 from vaultlens.operators import similarity as sim
 from vaultlens.plans import sql as S
-from vaultlens.plans.runtime import counting_rows, materialize, read_table
+from vaultlens.plans.runtime import counting_rows, materialize, numbered, read_table
 from vaultlens.sources import docx, tables
 from vaultlens.streaming import incremental
 
@@ -45,6 +45,18 @@ def _staged(spark, d: str) -> DataFrame:
     return tables.plan_notes(spark, d).select(F.col("plan_note_id").alias("id"), "plan_id", "ord", "title", "note_type", "source_doc", F.col("note_date").alias("date"))
 
 
+def _planned(spark, d: str) -> DataFrame:
+    return registry.write_plan(_staged(spark, d), _registered(spark, d))
+
+
+def _results(spark, d: str) -> DataFrame:
+    """Planned notes as results of an enrichment of the vault's notes of equal number, every third under its old title."""
+    notes = tables.vault_notes(spark, d).select("note_id", F.col("title").alias("original_title"))
+    p = tables.plan_notes(spark, d).join(notes, F.col("plan_note_id") == F.col("note_id"))
+    old = F.col("note_id") % 3 == 0
+    return p.withColumn("original_title", F.when(old, F.col("title")).when(F.col("note_id") % 3 == 1, F.col("original_title")))
+
+
 def _pair_notes(spark, d: str) -> DataFrame:
     n = tables.vault_notes(spark, d).select("note_id", "title", "tags", "source_doc", "body")
     side = lambda x: n.select(*[F.col(c).alias(f"{'source' if c == 'source_doc' else c}_{x}") if c != "note_id" else F.col(c).alias(x) for c in n.columns])
@@ -221,6 +233,82 @@ def pair_prompts(spark, d: str) -> DataFrame:
     return prompts.pair_prompts(_pair_notes(spark, d).where("score between 0.8 and 0.9"))
 
 
+def write_order(spark, d: str) -> DataFrame:
+    names = plan.render(tables.plan_notes(spark, d)).select(F.col("plan_note_id").alias("id"), "file_name")
+    return registry.write_order(_staged(spark, d).join(names, "id"))
+
+
+def plan_defaults(spark, d: str) -> DataFrame:
+    return plan.with_defaults(tables.plan_notes(spark, d)).select("plan_note_id", F.size("proposed_new_tags").alias("proposals"))
+
+
+def import_plan(spark, d: str) -> DataFrame:
+    return apply.import_plan(_planned(spark, d), plan.render(tables.plan_notes(spark, d)))
+
+
+def enrich_plan(spark, d: str) -> DataFrame:
+    return apply.enrich_plan(_results(spark, d), tables.vault_notes(spark, d), RUN_DATE)
+
+
+def split_plan(spark, d: str) -> DataFrame:
+    long = tables.vault_notes(spark, d).where("words > 300").select("path")
+    return apply.split_plan(_planned(spark, d), plan.render(tables.plan_notes(spark, d)), long, RUN_DATE)
+
+
+def _titled_pairs(spark, d: str) -> DataFrame:
+    return _pair_notes(spark, d).select("a", "b", "score", "title_a", "title_b")
+
+
+def ranked_pairs(spark, d: str) -> DataFrame:
+    """Pairs with their place in the report: by rounded score, then titles."""
+    p = _titled_pairs(spark, d).withColumn("score", sim.rounded("score")).withColumn("low", -F.col("score"))
+    return numbered(p, "low", "title_a", "title_b", "a", "b", name="place").select("a", "b", "score", "place")
+
+
+def top_pairs(spark, d: str) -> DataFrame:
+    return sim.top_pairs(_titled_pairs(spark, d))
+
+
+def numbered_pairs(spark, d: str) -> DataFrame:
+    return sim.numbered_pairs(_pairs(spark, d)).select("pair_id", "a", "b")
+
+
+def group_verdicts(spark, d: str) -> DataFrame:
+    """Answers to batches of five open groups: each names its even groups and one that was not asked."""
+    g = _groups(spark, d).where("is_duplicate is null")
+    asked = prompts.group_prompts(g.select("group_id", F.filter("notes", lambda x: x.isNotNull()).alias("notes")), tables.vault_notes(spark, d))
+    answer = lambda i: F.struct(i.alias("group_id"), (i % 4 == 0).alias("is_duplicate"), (i % 10 / 10).alias("confidence"))
+    named = F.transform(F.filter("groups", lambda i: i % 2 == 0), answer)
+    stray = F.array(answer(F.lit(-2).cast("bigint")))
+    return prompts.match_groups(asked.select("batch", "groups", F.to_json(F.struct(F.concat(named, stray).alias("groups"))).alias("payload"))).select("batch", "group_id", "is_duplicate", "confidence")
+
+
+def pair_verdicts(spark, d: str) -> DataFrame:
+    """Answers to numbered pairs: odd ones are to be linked, one number is unknown."""
+    p = sim.numbered_pairs(_pairs(spark, d))
+    one = F.to_json(F.struct(F.array(F.struct("pair_id", F.lit("link").alias("action"))).alias("pairs")))
+    replied = p.where("pair_id % 2 = 1").select(one.alias("payload")).union(spark.createDataFrame([('{"pairs": [{"pair_id": -1}]}',)], "payload string"))
+    return prompts.match_pairs(replied, p.select("pair_id", "a", "b")).select("pair_id", "a", "b", "action", "confidence")
+
+
+def fenced_replies(spark, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").where("text is not null").select("doc_id", replies.fenced("text").alias("payload"))
+
+
+def vault_titles_taken(spark, d: str) -> DataFrame:
+    """Notes of the vault, maps of content apart, whose title a note record has."""
+    v = tables.vault_notes(spark, d).select(F.col("note_id").alias("plan_note_id"), "title", "note_type")
+    return audit.title_collisions(v, tables.notes(spark, d).select("title", F.lit(None).cast("timestamp").alias("archived_at")))
+
+
+def canonical_titles(spark, d: str) -> DataFrame:
+    return _pair_notes(spark, d).select("a", "b", rewrite.canonical_title(F.col("title_a"), F.col("title_b")).alias("title"))
+
+
+def links_to_add(spark, d: str) -> DataFrame:
+    return sim.reciprocal_links(_pair_notes(spark, d))
+
+
 def queries() -> dict:
     notes, plans = tables.notes, tables.plan_notes
     titles = lambda s, d: read_table(s, d, "title_index")
@@ -235,7 +323,7 @@ def queries() -> dict:
         "link_degrees": lambda s, d: audit.link_degrees(notes(s, d)),
         "unresolved_links": lambda s, d: audit.unresolved_links(notes(s, d)),
         "titles_by_folder": lambda s, d: audit.titles_by_folder(titles(s, d)),
-        "title_collisions": lambda s, d: audit.title_collisions(plans(s, d), titles(s, d)),
+        "title_collisions": vault_titles_taken,
         "paragraphs": paragraphs,
         "word_counts": word_counts,
         "h1_titles": h1_titles,
@@ -278,6 +366,23 @@ def queries() -> dict:
         "frontmatter_gaps": frontmatter_gaps,
         "note_prompts": note_prompts,
         "pair_prompts": pair_prompts,
+        "write_order": write_order,
+        "write_tallies": lambda s, d: registry.tallies(_planned(s, d)),
+        "plan_defaults": plan_defaults,
+        "proposed_tag_log": lambda s, d: plan.proposed_tag_log(plans(s, d)),
+        "import_plan": import_plan,
+        "enrich_plan": enrich_plan,
+        "split_plan": split_plan,
+        "ranked_pairs": ranked_pairs,
+        "top_pairs": top_pairs,
+        "numbered_pairs": numbered_pairs,
+        "group_verdicts": group_verdicts,
+        "pair_verdicts": pair_verdicts,
+        "action_counts": lambda s, d: sim.action_counts(classified(s, d)),
+        "note_by_title": lambda s, d: sim.note_by_title(tables.vault_notes(s, d)),
+        "fenced_replies": fenced_replies,
+        "canonical_titles": canonical_titles,
+        "links_to_add": links_to_add,
         "section_levels": lambda s, d: docx.relevel(_sections(s, d)),
         "event_windows": lambda s, d: incremental.event_windows(read_table(s, d, "events")),
         "event_windows_stream": lambda s, d: incremental.stream_event_windows(s, f"{d}/events.parquet"),
@@ -353,6 +458,43 @@ def _safe(x: str) -> str:
     return f"case when strlen({t}) <= 200 then {t} else {S.strip(f'left({t}, {fits})')} end"
 
 
+_FIRST = "case when len({ws}) > {n} then array_to_string({ws}[1:{n}], ' ') || ' [...]' else {body} end"
+
+
+def _first_words(body: str, n: int) -> str:
+    return _FIRST.format(ws=f"regexp_extract_all({body}, '{S.NOT_WS}+', 0)", n=n, body=body)
+
+
+def _rstrip(x: str) -> str:
+    return f"regexp_replace({x}, '{S.WS}+$', '')"
+
+
+_NL = "chr(10)"
+_WRITE = f"""{_NOTES}, {_PLANS}, r as (select distinct source_doc, title from n where not {S.is_blank('source_doc')}),
+    s as (select plan_note_id id, coalesce(title, '') title, coalesce(note_type, '') note_type, coalesce(source_doc, '') source_doc from p),
+    j as (select s.*, s.note_type <> 'moc' and s.source_doc <> '' and exists (select 1 from r where r.source_doc = s.source_doc and r.title = s.title) k from s),
+    wp as (select id, title, case when k then 'skip' else 'create' end action, case when k then null when note_type = 'moc' then 'MOCs' when note_type = 'source' then 'Sources' else 'Notes' end folder,
+      not k and source_doc <> '' registered, case when k then 'skipped' when note_type = 'moc' then 'moc' else 'note' end counted_as from j)"""
+#: Archive names of (path, stem) in a relation, numbered where they meet.
+_ARCHIVED = "select 'archive' op, path, '.archive/' || base || case when nth > 1 then '_' || (nth - 1) else '' end || '.md' dest, null::varchar as content from (select path, '{1}' || stem base, row_number() over (partition by stem order by path) nth from (select distinct path, regexp_extract(path, '([^/]+)\\.md$', 1) stem from {0}))"
+_WHOLE_LINK = "'\\[\\[([^\\[\\]]+)\\]\\]'"
+
+
+def _content_sql(p: str) -> str:
+    """The file of a planned note, as in render_notes."""
+    return f"""'---' || {_NL} || 'tags:' || {_NL} || array_to_string(list_transform(coalesce({p}tags, []), lambda t: '  - ' || coalesce(t, 'None')), {_NL})
+  || {_NL} || 'date: ' || coalesce({p}note_date, '') || {_NL} || 'source_doc: "' || replace(coalesce({p}source_doc, ''), '"', chr(92) || '"') || '"'
+  || {_NL} || 'note_type: ' || coalesce({p}note_type, '') || {_NL} || '---' || {_NL} || {_NL} || coalesce({p}body, '') || {_NL}"""
+
+
+def _related_sql(start: str, targets: str) -> str:
+    """append_related for each target in turn."""
+    link = "'[[' || t || ']]'"
+    body = _rstrip("c")
+    one = f"case when contains(c, {link}) then c when contains({body} || {_NL}, '{rewrite.RELATED}') then {body} || {_NL} || '- ' || {link} || {_NL} else {body} || {_NL} || {_NL} || '{rewrite.RELATED}' || {_NL} || '- ' || {link} || {_NL} end"
+    return f"list_reduce({targets}, lambda c, t: {one}, {start})"
+
+
 _WINDOWS = "select date_trunc('hour', ts) start, event_type, count(*) events, sum(value::decimal(18, 4))::double total from events group by all"
 
 
@@ -373,7 +515,7 @@ def oracle_sql() -> dict[str, str]:
         "link_degrees": w + _NOTES + " select title, count(*) incoming from (select unnest(links) title from n) group by 1",
         "unresolved_links": w + _NOTES + ", e as (select note_id src_id, unnest(links) dst_title from n) select src_id, dst_title from e where dst_title not in (select title from n)",
         "titles_by_folder": "select folder, title, count(distinct title_id) copies from title_index where archived_at is null and title is not null group by all",
-        "title_collisions": w + _PLANS + " select plan_note_id, title from p where coalesce(note_type <> 'moc', true) and title in (select title from title_index where archived_at is null)",
+        "title_collisions": w + _NOTES + ", " + _VAULT + " select note_id plan_note_id, title from v where title in (select title from n)",
         "paragraphs": w + _VAULT + f", x as (select note_id, {_PARAS} ps from v), y as (select note_id, unnest(ps) paragraph, unnest(range(0, len(ps))) para_no from x) select note_id, para_no::integer para_no, paragraph from y",
         "word_counts": f"select note_id, {S.word_count('body')} words, word_count is distinct from {S.word_count('body')} stored_differs from {S.counting('vault_notes', 'note_id', 'updated_at')}",
         "h1_titles": f"select doc_id, case when regexp_matches(coalesce(text, ''), '(?:^|{_BREAKS})# ') then {S.strip(f'''regexp_extract(text, '(?:^|{_BREAKS})# ({_NOT_BREAK}*)', 1)''')} else coalesce(title, '') end h1 from documents",
@@ -400,11 +542,58 @@ def oracle_sql() -> dict[str, str]:
             mm as (select v.source_doc, v.title, case when m.i = m.f then canonical_title end c from m join v on v.note_id = m.i)
             select source_doc, title from v where source_doc <> '' and not exists (select 1 from mm where mm.source_doc = v.source_doc and mm.title = v.title)
             union select source_doc, c from mm where c is not null and source_doc <> ''""",
-        "write_plan": w + _NOTES + ", " + _PLANS + f""", r as (select distinct source_doc, title from n where not {S.is_blank('source_doc')}),
-            s as (select plan_note_id id, coalesce(title, '') title, coalesce(note_type, '') note_type, coalesce(source_doc, '') source_doc from p),
-            j as (select s.*, s.note_type <> 'moc' and s.source_doc <> '' and exists (select 1 from r where r.source_doc = s.source_doc and r.title = s.title) k from s)
-            select id, title, case when k then 'skip' else 'create' end action, case when k then null when note_type = 'moc' then 'MOCs' when note_type = 'source' then 'Sources' else 'Notes' end folder,
-            not k and source_doc <> '' registered, case when k then 'skipped' when note_type = 'moc' then 'moc' else 'note' end counted_as from j""",
+        "write_plan": w + _WRITE + " select * from wp",
+        "write_tallies": w + _WRITE + " select count_if(counted_as = 'note')::bigint notes, count_if(counted_as = 'moc')::bigint mocs, count_if(counted_as = 'skipped')::bigint skipped from wp",
+        "write_order": w + _PLANS + f", x as (select plan_id, plan_note_id id, coalesce(note_type, '') = 'moc' or ends_with(file_name, ' — MOC.md') m, file_name from (select plan_id, note_type, plan_note_id, {_safe('coalesce(title, $$$$)')} || '.md' file_name from p)) select plan_id, id, row_number() over (partition by plan_id order by m, file_name, id)::integer place from x",
+        "plan_defaults": w + _PLANS + " select plan_note_id, coalesce(len(proposed_new_tags), 0)::integer proposals from p",
+        "proposed_tag_log": w + _PLANS + """, x as (select plan_id, ord, plan_note_id, unnest(proposed_new_tags) x, unnest(range(0, len(proposed_new_tags))) nth from p),
+            y as (select plan_id, x.tag tag, x.reason reason, min({'o': ord, 'p': plan_note_id, 'n': nth}) f from x where x is not null group by all) select plan_id, row_number() over (partition by plan_id order by f)::integer place, tag, reason from y""",
+        "import_plan": w + _WRITE + f", f as (select folder || '/' || file_name path, content, id from wp join ({_render_sql()}) r on r.plan_note_id = wp.id where action <> 'skip') select 'write' op, path, null::varchar dest, max_by(content, id) as content from f group by path",
+        "split_plan": w + _WRITE + ", " + _VAULT + f", f as (select folder || '/' || file_name path, content, id from wp join ({_render_sql()}) r on r.plan_note_id = wp.id where action <> 'skip'), long as (select path from v where words > 300) " + _ARCHIVED.format("long", f"{RUN_DATE}_") + " union all select 'write', path, null, max_by(content, id) from f group by path",
+        "enrich_plan": w + _VAULT + ", " + _PLANS + f""", e as (select v.note_id, v.path, p.title, p.tags, p.source_doc, p.note_date, p.note_type, p.body, case when v.note_id % 3 = 0 then p.title when v.note_id % 3 = 1 then v.title end was from p join v on v.note_id = p.plan_note_id),
+            f as (select *, title = coalesce(was, title) same, {_content_sql('')} as content, {_safe('coalesce(title, $$$$)')} || '.md' file_name from e),
+            o as (select path from f where not same), x as (select case when same then path else 'Notes/' || file_name end path, note_id, content from f) {_ARCHIVED.format('o', f'{RUN_DATE}_')}
+            union all select 'write', path, null, max_by(content, note_id) from x group by path""",
+        "merge_plan": w + _GROUPS + ", " + _VAULT + f""", q as (select * from g where is_duplicate and canonical_title is not null and canonical_body is not null),
+            m as (select distinct group_id, unnest(notes) note_id from q), mv as (select m.group_id, v.note_id, v.path, v.source_doc from m join v on v.note_id = m.note_id),
+            o as (select path from mv), fs as (select group_id, min_by(source_doc, note_id) s from mv group by 1),
+            c as (select q.group_id, q.canonical_title title, q.canonical_tags tags, '{RUN_DATE}' note_date, s source_doc, 'atomic' note_type, canonical_body body from q join fs on fs.group_id = q.group_id),
+            f as (select {_safe('title')} || '.md' file_name, {_content_sql('')} as content, group_id from c) {_ARCHIVED.format('o', f'{RUN_DATE}_dedup_')}
+            union all select 'write', 'Notes/' || file_name, null, min_by(content, group_id) from f group by file_name""",
+        "relinked": w + _GROUPS + ", " + _VAULT + ", " + _PLANS + f""", m as (select v.title as old, min(canonical_title) as new from (select canonical_title, unnest(notes) i from g where is_duplicate and canonical_title is not null) x join v on v.note_id = x.i where v.title <> canonical_title group by v.title),
+            l as (select plan_note_id, coalesce(body, '') body, regexp_extract_all(coalesce(body, ''), {_WHOLE_LINK}, 0) ls, regexp_split_to_array(coalesce(body, ''), {_WHOLE_LINK}) bs from p),
+            u as (select plan_note_id, unnest(ls) x, unnest(range(1, len(ls) + 1)) k from l), t as (select plan_note_id, k, coalesce('[[' || m.new || ']]', x) x, m.new is not null hit from u left join m on m.old = x[3:-3]),
+            a as (select plan_note_id, list(x order by k) xs from t group by 1 having bool_or(hit))
+            select plan_note_id note_id, list_reduce(list_transform(range(1, len(bs) + 1), lambda k: bs[k] || coalesce(xs[k], '')), lambda y, z: y || z) body from l join a using (plan_note_id)""",
+        "related_sections": w + _SIDES + f""", e as (select a note_id, title_b t from pn where score >= 0.8 union select b, title_a from pn where score >= 0.8), k as (select note_id, list_sort(list(t)) ts from e where t <> '' group by 1)
+            select v.note_id, {_related_sql('v.body', 'ts')} as content from v join k on k.note_id = v.note_id""",
+        "links_to_add": w + _SIDES + " select a note_id, title_b target from pn union select b, title_a from pn",
+        "canonical_titles": w + _SIDES + f", x as (select *, {S.title_key('title_a')} ka, {S.title_key('title_b')} kb from pn) select a, b, case when length(title_a) < length(title_b) then title_a when length(title_b) < length(title_a) then title_b when contains(ka, kb) and not contains(kb, ka) then title_b else title_a end title from x",
+        "ranked_pairs": w + _SIDES + ", x as (select *, printf('%.3f', score)::double r from pn) select a, b, r score, row_number() over (order by r desc, title_a, title_b, a, b) - 1 place from x",
+        "top_pairs": w + _SIDES + " select a, b, score, title_a, title_b from pn order by score desc, title_a, title_b, a, b limit 20",
+        "numbered_pairs": w + _PAIRS + " select row_number() over (order by a, b) pair_id, a, b from pr",
+        "pair_verdicts": w + _PAIRS + ", x as (select row_number() over (order by a, b) pair_id, a, b from pr) select pair_id, a, b, 'link' action, 0.0::double confidence from x where pair_id % 2 = 1",
+        "group_verdicts": w + _GROUPS + ", " + _VAULT + """, o as (select group_id, notes from g where is_duplicate is null), k as (select distinct group_id from (select group_id, unnest(notes) i from o) where i in (select note_id from v)),
+            x as (select group_id, (row_number() over (order by group_id) - 1) // 5 batch from k) select batch::bigint batch, group_id, group_id % 4 = 0 is_duplicate, (group_id % 10 / 10)::double confidence from x where group_id % 2 = 0""",
+        "group_prompts": w + _GROUPS + ", " + _VAULT + f""", o as (select group_id, list_distinct(list_filter(notes, lambda x: x is not null)) ns from g where is_duplicate is null), k as (select group_id, unnest(ns) i from o),
+            t as (select group_id, string_agg('### ' || title || {_NL} || 'Tags: ' || array_to_string(list_sort(tags), ', ') || {_NL} || 'Source: ' || source_doc || {_NL} || 'Words: ' || words || {_NL} || {_NL} || {_first_words('body', 300)}, {_NL} || {_NL} order by note_id) x from k join v on v.note_id = k.i group by 1),
+            b as (select group_id, x, (row_number() over (order by group_id) - 1) // 5 batch from t) select batch::bigint batch, list(group_id order by group_id) groups, string_agg('## Group ' || group_id || {_NL} || {_NL} || x, {_NL} || {_NL} || '---' || {_NL} || {_NL} order by group_id) prompt from b group by 1""",
+        "import_prompts": f"""with s as {S.counting('doc_sections', 'section_id', 'parsed_at')}
+            select source_file, section_idx, 'Split the document into notes. Answer in JSON.' || {_NL} || {_NL} || 'Allowed tags: study/memory' || {_NL} || {_NL} || 'Document:' || {_NL} || '{{' || array_to_string(list_filter([
+              '"source_file":' || to_json(source_file)::varchar, '"heading":' || to_json(heading)::varchar, '"level":' || level, '"paragraphs":' || to_json(paragraphs)::varchar], lambda x: x is not null and not ends_with(x, ':null')), ',') || '}}' prompt from s""",
+        "enrichment": w + _NOTES + f""", th as (select * from n where note_type = 'atomic' and words between 1 and 79), k as (select note_id, unnest(list_filter({_TOKENS.format('title')}, lambda x: length(x) >= 4)) t from n),
+            sc as (select a.note_id target, b.note_id note, 1 s from k a join k b on a.t = b.t and a.note_id <> b.note_id where a.note_id in (select note_id from th)
+              union all select a.note_id, b.note_id, 3 from th a join n b on a.source_doc = b.source_doc and a.source_doc <> '' and a.note_id <> b.note_id),
+            tp as (select target, title, row_number() over (partition by target order by sum(s) desc, title, note) r from sc join n on n.note_id = sc.note group by target, note, title qualify r <= 3),
+            nr as (select target, list(title order by r) ts from tp group by 1), j as (select note_id, title, body, coalesce(ts, []) ts from th left join nr on target = note_id),
+            b as (select note_id, body, {_rstrip('body')} b, '{rewrite.ENRICHED}' || {_NL} || {_NL} || {S.strip(f"case when contains(lower(title), 'registry') then 'A registry keeps what was done.' || case when len(ts) >= 2 then {_NL} || {_NL} || 'Compare [[' || ts[1] || ']] and [[' || ts[2] || ']].' else '' end when len(ts) > 0 then 'See also: [[' || array_to_string(ts, ']], [[') || ']].' else 'This note has no neighbours yet.' end")} || {_NL} block from j)
+            select note_id, case when contains(body, '{rewrite.ENRICHED}') then body when contains(b, {_NL} || '{rewrite.RELATED}') then {_rstrip(f"left(b, instr(b, {_NL} || '{rewrite.RELATED}') - 1)")} || {_NL} || {_NL} || block || substr(b, instr(b, {_NL} || '{rewrite.RELATED}')) || {_NL} else b || {_NL} || {_NL} || block end as content from b""",
+        "pair_prompts": w + _SIDES.replace("x.source_doc source_a", "x.body body_a, y.body body_b, x.source_doc source_a") + f" select a, b, 'Score: ' || score || {_NL} || {_NL} || '### A: ' || title_a || {_NL} || {_NL} || {_first_words('body_a', 220)} || {_NL} || {_NL} || '### B: ' || title_b || {_NL} || {_NL} || {_first_words('body_b', 220)} prompt from pn where score between 0.8 and 0.9",
+        "action_counts": w + _SIDES + " select count(*) candidates, count_if(source_a = source_b and source_a <> '' and score >= 0.9)::bigint as merge, count_if(not (source_a = source_b and source_a <> '' and score >= 0.9) and score >= 0.8)::bigint as link, count_if(score < 0.8)::bigint as ignore from pn",
+        "note_by_title": w + _VAULT + " select title, max_by(note_id, {'p': path, 'i': note_id}) note_id from v group by 1",
+        "fenced_replies": f"""with x as (select doc_id, {S.strip('text')} s from documents where text is not null)
+            select doc_id, case when regexp_matches(s, '(?s)```json\\s*(.*?)\\s*```') then {S.strip("regexp_extract(s, '(?s)```json[ \\t\\n\\v\\f\\r]*(.*?)[ \\t\\n\\v\\f\\r]*```', 1)")}
+            when not contains(s, '```json') and regexp_matches(s, '(?s)```\\s*(.*?)\\s*```') then {S.strip("regexp_extract(s, '(?s)```[ \\t\\n\\v\\f\\r]*(.*?)[ \\t\\n\\v\\f\\r]*```', 1)")} else s end payload from x""".replace("\\\\", "\\"),
         "supplement": w + _NOTES + ", " + _PLANS + """, l as (select title, note_type, source_doc from p where title is not null qualify row_number() over (partition by title order by plan_id desc, ord desc, plan_note_id desc) = 1)
             select n.note_id, n.title, case when n.note_type = '' then coalesce(l.note_type, '') else n.note_type end note_type, case when n.source_doc = '' then coalesce(l.source_doc, '') else n.source_doc end source_doc from n left join l on l.title = n.title""",
         "overlap_pairs": w + _VAULT + f""", t as (select note_id, tags, {_TOKENS.format('title')} tk from v),
