@@ -24,6 +24,8 @@ _WORD = re.compile(r"[^\W_]+|\0")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Words of the parity maps by which chance meetings are told.
 MAP_WORDS = 8
+#: Bodies that may have a run which is a signature by itself; of more frequent ones two make one.
+RARE = 16
 
 
 def word_runs(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def near_copies(texts: DataFrame, *, threshold: float = 0.5, size: int = 3, leas
 
     Null and short texts have no pairs; repeated texts are pairs of each other.
     """
-    return expanded(*similar_classes(shingles(texts, size=size, least_words=least_words), threshold, MAP_WORDS))
+    return expanded(*similar_classes(shingles(texts, size=size, least_words=least_words), threshold, MAP_WORDS, RARE))
 
 
 def near_groups(texts: DataFrame, *, threshold: float = 0.5, size: int = 3, least_words: int = 25) -> DataFrame:
@@ -77,7 +79,7 @@ def near_groups(texts: DataFrame, *, threshold: float = 0.5, size: int = 3, leas
     Copies stay classes throughout: a class links each of its texts to the
     others, and to all texts of the classes similar to it.
     """
-    pairs, members = similar_classes(shingles(texts, size=size, least_words=least_words), threshold, MAP_WORDS)
+    pairs, members = similar_classes(shingles(texts, size=size, least_words=least_words), threshold, MAP_WORDS, RARE)
     pairs = materialize(pairs, "pairs")
     of = members.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
     ends = pairs.union(pairs.select("b", "a")).toDF("id", "other").join(of.toDF("other", "n"), "other", "left")
