@@ -262,3 +262,17 @@ def test_known_beginnings(spark):
     found = [r.word for r in got.collect()]
     want = {a for a in asked if any(w != a and w.startswith(a) for w in words)}
     assert len(found) == len(set(found)) and {f for f in found if f not in words} == {w for w in want if w not in words} and set(found) <= want
+
+
+def test_code_blocks_are_cut_between_lines_only_where_they_must():
+    code = "```\n" + "x = 1\n\ny = 2. z\n" * 3 + "```\n"
+    text = "Some words. " * 6 + "\n\n" + code + "\nAfter it. More."
+    got = [text[a:b] for a, b in splitting.cut_points(text, 80, 0)]
+    assert "".join(got) == text and got[1] == code + "\n" + "After it. More."
+    small = [text[a:b] for a, b in splitting.cut_points(text, 30, 0)]
+    assert "".join(small) == text and all(len(x) <= 30 for x in small)
+    at = text.index("```") + 4
+    cuts = {a for a, _ in splitting.cut_points(text, 30, 0)}
+    assert all(text[c - 1] == "\n" for c in cuts if at < c < text.rindex("```"))
+    open_ = "a b\n```\n" + "line of code\n" * 20
+    assert all(open_[a - 1] == "\n" for a, _ in splitting.cut_points(open_, 40, 0)[1:])

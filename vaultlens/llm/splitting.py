@@ -1,6 +1,7 @@
 """Splitting oversized items at natural boundaries (problem 5).
 
 A hierarchy of separators: sections, paragraphs, sentences, words, characters.
+A fenced code block has no sections, paragraphs and sentences, but lines.
 Pieces are packed greedily: each runs to the last boundary of the highest
 level that still lies within the limit and fills the piece far enough; only
 where there is none, the next level is asked. A piece begins the wanted
@@ -27,10 +28,28 @@ SEPARATORS = (
     re.compile(r"[.!?。！？…][\"'”»)\]]*\s+|[。！？]|\r?\n"),
     re.compile(r"\s+"),
 )
+FENCE = re.compile(r"^[ \t]*```.*?(?:^[ \t]*```[ \t]*$|\Z)", re.M | re.S)
+LINE = re.compile(r"\r?\n")
 #: A boundary serves if it fills at least this share of the limit; else a lower level is asked first.
 MIN_FILL = 0.5
 
 
+def boundaries(text: str) -> list[list[int]]:
+    """Places where a text may be cut, rising, from the highest level down; the lines of code blocks are a level above words."""
+    found = [[m.end() for m in s.finditer(text)] for s in SEPARATORS]
+    code = [m.span() for m in FENCE.finditer(text)] if "```" in text else []
+    if not code:
+        return found
+    starts = [a for a, _ in code]
+
+    def inside(at: int) -> bool:
+        k = bisect_right(starts, at) - 1
+        return k >= 0 and code[k][0] < at < code[k][1]
+
+    lines = [m.end() for m in LINE.finditer(text) if inside(m.end())]
+    return [*([e for e in of if not inside(e)] for of in found[:-1]), lines, found[-1]]
+
+
 def cut_points(text: str | None, limit: int, overlap: int, min_fill: float = MIN_FILL) -> list[tuple[int, int]]:
     """(start, end) of the pieces of a text, in code points; none for null or empty text.
 
@@ -46,7 +65,7 @@ def cut_points(text: str | None, limit: int, overlap: int, min_fill: float = MIN
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    ends = [[m.end() for m in s.finditer(text)] for s in SEPARATORS]
+    ends = boundaries(text)
 
     def last(found: list[int], most: int) -> int:
         k = bisect_right(found, most)

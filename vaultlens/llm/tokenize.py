@@ -29,7 +29,7 @@ TOKENIZERS = os.environ.get("VAULTLENS_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters from which a text is halved, and bytes from which one match of the pattern is.
-LONG_TEXT, LONG_PIECE = 50_000, 2_000
+LONG_TEXT, LONG_PIECE = 16_000, 1_000
 #: A single blank between two others: no match of the pattern reaches across its left side.
 _SEAM = regex.compile(r"(?<=\S)(?= \S)")
 _SEAM_BEFORE = regex.compile(r"(?r)(?<=\S)(?= \S)")
