@@ -262,13 +262,14 @@ def begins(part, whole):
     return whole.startswith(part) if isinstance(whole, str) and isinstance(part, str) else part == whole or isinstance(whole, (int, float)) and isinstance(part, (int, float))
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(st.dictionaries(st.text(max_size=4), VALUES, min_size=1, max_size=4), st.booleans(), st.data())
 def test_every_beginning_of_an_object_is_repaired(value, ascii_, data):
     text = json.dumps(value, ensure_ascii=ascii_)
     cut = text[: data.draw(st.integers(1, len(text)))]
     got = replies.repair_json(cut)
     assert got is not None and begins(json.loads(got), value)
+    assert json.loads(replies.repair_json('{"a": ["\\ud83d\\ude00", "\\ud83d')) == {"a": ["\U0001f600", ""]} and replies.repair_json('{"a": "\\ud83d", "b') == '{"a": "\\ud83d"}'
     assert replies.repair_json(text + "x") is None and replies.repair_json('{"a" 1') is None and replies.repair_json("") is None
 
 

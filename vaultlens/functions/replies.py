@@ -16,7 +16,8 @@ from vaultlens.functions import text as T
 _SPACE = re.compile(r"[ \t\r\n]*")
 _PLAIN = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null")
 _NUMBER_END = re.compile(r"\.|[eE][-+]?")
-_CUT_ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{0,3})?\Z")
+#: An escape that breaks off, or the first half of a pair of them.
+_CUT_ESCAPE = re.compile(r"(?:\\u[dD][89abAB][0-9a-fA-F]{2})?\\(?:u[0-9a-fA-F]{0,3})?\Z|\\u[dD][89abAB][0-9a-fA-F]{2}\Z")
 
 
 def looks_truncated(c: Column | str) -> Column:
@@ -125,6 +126,15 @@ class _Prefix:
         return out
 
 
+def _whole(text: str) -> bool:
+    """Whether a text has no halves of pairs, which UTF-8 can't hold."""
+    try:
+        text.encode()
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
 def repair_json(text: str) -> str | None:
     """JSON of a text that breaks off, as far as it goes; None if it is no beginning of an object or array.
 
@@ -135,7 +145,10 @@ def repair_json(text: str) -> str | None:
         if p.peek() not in ("{", "["):
             return None
         found = p.value()[1]
-        return None if p.peek() else json.dumps(found, ensure_ascii=False)
+        if p.peek():
+            return None
+        out = json.dumps(found, ensure_ascii=False)
+        return out if out.isascii() or _whole(out) else json.dumps(found)
     except (ValueError, RecursionError):
         return None
 
