@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vaultlens.functions import replies
 from vaultlens.operators import audit, graph, plan, prompts, registry, rewrite
 from vaultlens.operators import similarity as sim
-from vaultlens.plans.runtime import numbered
+from vaultlens.plans.runtime import materialize, numbered, path_exists, scratch
 
 NOTE = "note_id bigint, path string, title string, note_type string, source_doc string, frontmatter string, body string, tags array<string>, links array<string>, words int"
 
@@ -312,6 +312,14 @@ def test_rewriters_are_programs(tmp_path, monkeypatch):
         prompts.command_rewriter(["sleep", "5"], timeout=0.2)("x")
 
 
+def test_scratch_tables_are_deleted(spark):
+    with scratch():
+        t = materialize(spark.range(5), "t")
+        path = t.inputFiles()[0]
+        assert t.count() == 5 and path_exists(spark, path)
+    assert not path_exists(spark, path)
+
+
 def test_numbers_and_orders(spark):
     df = spark.createDataFrame([(k,) for k in range(1000, 0, -1)], "k int").repartition(7)
     assert all(r.number == r.k - 1 for r in numbered(df, "k").collect()) and numbered(df.limit(0), "k").count() == 0

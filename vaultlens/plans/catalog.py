@@ -295,6 +295,12 @@ def fenced_replies(spark, d: str) -> DataFrame:
     return read_table(spark, d, "documents").where("text is not null").select("doc_id", replies.fenced("text").alias("payload"))
 
 
+def complete_replies(spark, d: str) -> DataFrame:
+    """Replies whose payload is JSON as it stands."""
+    f = fenced_replies(spark, d)
+    return f.withColumn("json", replies.reply_json("payload")).where("json = payload").select("doc_id")
+
+
 def vault_titles_taken(spark, d: str) -> DataFrame:
     """Notes of the vault, maps of content apart, whose title a note record has."""
     v = tables.vault_notes(spark, d).select(F.col("note_id").alias("plan_note_id"), "title", "note_type")
@@ -381,6 +387,7 @@ def queries() -> dict:
         "action_counts": lambda s, d: sim.action_counts(classified(s, d)),
         "note_by_title": lambda s, d: sim.note_by_title(tables.vault_notes(s, d)),
         "fenced_replies": fenced_replies,
+        "complete_replies": complete_replies,
         "canonical_titles": canonical_titles,
         "links_to_add": links_to_add,
         "section_levels": lambda s, d: docx.relevel(_sections(s, d)),
@@ -495,6 +502,10 @@ def _related_sql(start: str, targets: str) -> str:
     return f"list_reduce({targets}, lambda c, t: {one}, {start})"
 
 
+_FENCED = f"""with x as (select doc_id, {S.strip('text')} s from documents where text is not null)
+            select doc_id, case when regexp_matches(s, '(?s)```json\\s*(.*?)\\s*```') then {S.strip("regexp_extract(s, '(?s)```json[ \\t\\n\\v\\f\\r]*(.*?)[ \\t\\n\\v\\f\\r]*```', 1)")}
+            when not contains(s, '```json') and regexp_matches(s, '(?s)```\\s*(.*?)\\s*```') then {S.strip("regexp_extract(s, '(?s)```[ \\t\\n\\v\\f\\r]*(.*?)[ \\t\\n\\v\\f\\r]*```', 1)")} else s end payload from x""".replace("\\\\", "\\")
+
 _WINDOWS = "select date_trunc('hour', ts) start, event_type, count(*) events, sum(value::decimal(18, 4))::double total from events group by all"
 
 
@@ -591,9 +602,8 @@ def oracle_sql() -> dict[str, str]:
         "pair_prompts": w + _SIDES.replace("x.source_doc source_a", "x.body body_a, y.body body_b, x.source_doc source_a") + f" select a, b, 'Score: ' || score || {_NL} || {_NL} || '### A: ' || title_a || {_NL} || {_NL} || {_first_words('body_a', 220)} || {_NL} || {_NL} || '### B: ' || title_b || {_NL} || {_NL} || {_first_words('body_b', 220)} prompt from pn where score between 0.8 and 0.9",
         "action_counts": w + _SIDES + " select count(*) candidates, count_if(source_a = source_b and source_a <> '' and score >= 0.9)::bigint as merge, count_if(not (source_a = source_b and source_a <> '' and score >= 0.9) and score >= 0.8)::bigint as link, count_if(score < 0.8)::bigint as ignore from pn",
         "note_by_title": w + _VAULT + " select title, max_by(note_id, {'p': path, 'i': note_id}) note_id from v group by 1",
-        "fenced_replies": f"""with x as (select doc_id, {S.strip('text')} s from documents where text is not null)
-            select doc_id, case when regexp_matches(s, '(?s)```json\\s*(.*?)\\s*```') then {S.strip("regexp_extract(s, '(?s)```json[ \\t\\n\\v\\f\\r]*(.*?)[ \\t\\n\\v\\f\\r]*```', 1)")}
-            when not contains(s, '```json') and regexp_matches(s, '(?s)```\\s*(.*?)\\s*```') then {S.strip("regexp_extract(s, '(?s)```[ \\t\\n\\v\\f\\r]*(.*?)[ \\t\\n\\v\\f\\r]*```', 1)")} else s end payload from x""".replace("\\\\", "\\"),
+        "fenced_replies": _FENCED,
+        "complete_replies": f"select doc_id from ({_FENCED}) where json_valid(payload)",
         "supplement": w + _NOTES + ", " + _PLANS + """, l as (select title, note_type, source_doc from p where title is not null qualify row_number() over (partition by title order by plan_id desc, ord desc, plan_note_id desc) = 1)
             select n.note_id, n.title, case when n.note_type = '' then coalesce(l.note_type, '') else n.note_type end note_type, case when n.source_doc = '' then coalesce(l.source_doc, '') else n.source_doc end source_doc from n left join l on l.title = n.title""",
         "overlap_pairs": w + _VAULT + f""", t as (select note_id, tags, {_TOKENS.format('title')} tk from v),

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +53,18 @@ def release(df_or_path: DataFrame | str) -> None:
             _written.remove((spark, path))
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at its end the tables that materialize() writes within: for sessions that live long, once results are taken."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[before:]:
+            _delete(spark, path)
+        del _written[before:]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether there is something at a path of any file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
