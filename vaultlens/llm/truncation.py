@@ -15,7 +15,8 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import compress
 
 import pyarrow as pa
 import xxhash
@@ -181,6 +182,11 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     penults: Counter = Counter()
     schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("state", pa.string()), ("word", pa.string()), ("before", pa.string()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("s_chars", pa.int64()), ("s_bytes", pa.int64()), ("marked", pa.bool_()), ("hash", pa.int64()), ("total", pa.int64()), ("final", pa.int64()), ("penult", pa.int64())])
 
+    @lru_cache(maxsize=10_000)
+    def stops(gap: str) -> bool:
+        """Whether a sentence or a line ends between two words."""
+        return "\n" in gap or any(c in STOPS for c in gap)
+
     def words() -> pa.RecordBatch:
         rows = [("word", None, None, None, w, None, None, None, None, None, None, None, n, finals[w], penults[w]) for w, n in counts.items()]
         for c in (counts, finals, penults):
@@ -202,11 +208,13 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = _RUNS.findall(left.lower())
             if (flush or state != "whole") and runs:  # what stands at a doubtful end is no evidence of a word
                 runs.pop()
-            ends = [not gap.isspace() and any(c in STOPS for c in gap) or "\n" in gap for _, gap in runs]
-            ws = [w for w, _ in runs]
+            if not runs:
+                continue
+            ws, between = zip(*runs)
+            ends = list(map(stops, between))
             counts.update(ws)
-            finals.update(w for w, e in zip(ws, ends) if e)
-            penults.update(w for w, e in zip(ws, ends[1:]) if e)
+            finals.update(compress(ws, ends))
+            penults.update(compress(ws, ends[1:]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
         if len(counts) > FLUSH:
@@ -217,8 +225,9 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def footers(docs: DataFrame) -> DataFrame:
     """Of each source the lines that end many of its texts: source, footers."""
-    last = docs.select("source", F.regexp_extract(F.rtrim("text"), r"\n([^\n]+)$", 1).alias("line"))
-    n = last.groupBy("source", "line").agg(F.count("*").alias("n"))
+    text = F.rtrim("text", F.lit(" \t\r\n"))
+    line = F.when(F.contains(text, F.lit("\n")), F.substring_index(text, "\n", -1)).otherwise("")
+    n = materialize(docs.select("source", line.alias("line")).groupBy("source", "line").agg(F.count("*").alias("n")), "last-lines")
     of = n.groupBy("source").agg(F.sum("n").alias("of"))
     often = n.join(of, "source").where((F.col("line") != "") & (F.col("n") >= 20) & (F.col("n") >= FOOTER_SHARE * F.col("of")))
     return often.groupBy("source").agg(F.collect_list("line").alias("footers"))
