@@ -161,17 +161,18 @@ ALL = -(2**63)
 def keyed(notes: DataFrame, weights: tuple[float, float, float], threshold: float) -> DataFrame:
     """note_id, low (lowercased title), tags and tokens as hashes, and the keys under which a note meets others."""
     hashed = lambda kind, c: F.transform(F.array_distinct(c), lambda x: F.xxhash64(F.lit(kind), x))
-    k = notes.select("note_id", F.lower("title").alias("low"), hashed("#", "tags").alias("tags"), hashed("w", T.title_tokens("title")).alias("tokens"))
     none = F.array().cast("array<bigint>")
-    keys = F.array(F.lit(ALL)) if threshold <= weights[0] else F.concat(F.col("tags") if weights[1] else none, F.col("tokens") if weights[2] else none)
+    of = lambda weight, x: (x if weight else none)
+    k = notes.select("note_id", F.lower("title").alias("low"), of(weights[1], hashed("#", "tags")).alias("tags"), of(weights[2], hashed("w", T.title_tokens("title"))).alias("tokens"))
+    keys = F.array(F.lit(ALL)) if threshold <= weights[0] else F.concat("tags", "tokens")
     return k.withColumn("keys", keys)
 
 
 def similar_pairs(notes: DataFrame, weights: tuple[float, float, float], threshold: float) -> DataFrame:
     """a, b (note ids, a < b) and score of all pairs that score threshold or more, whatever it is.
 
-    notes has note_id, title and tags. The work follows the pairs of notes that
-    share a key, some ten million of which a core compares in a second; with
+    notes has note_id, title and tags; rows without a title or without an array
+    of tags are left out. The work follows the pairs of notes that share a key, some ten million of which a core compares in a second; with
     few tags for many notes it is that of the nested loop it replaces, and the
     joins of problems 3 and 4 are the ones for such vaults.
     """
