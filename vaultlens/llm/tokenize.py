@@ -62,8 +62,15 @@ class Encoder:
             return [i for ids in pool.map(self._leaf, leaves, chunksize=8) for i in ids]
 
     def _unsplit(self, text: str) -> bool:
-        """Whether some match of the pattern may be long: no blank for long."""
-        return len(text) > self.long_piece // 4 and max(map(len, text.split(" "))) > self.long_piece // 4
+        """Whether some match of the pattern may be long: no blank for long. A run without blanks is met by looking back from its end."""
+        long = self.long_piece // 4
+        at = long
+        while at < len(text):
+            blank = text.rfind(" ", at - long, at + 1)
+            if blank < 0:
+                return True
+            at = blank + long + 1
+        return False
 
     def _parts(self, text: str) -> list[str]:
         """Halves of halves up to the limit, cut at seams."""
