@@ -219,6 +219,15 @@ def test_representatives(spark):
     assert consensus.representatives(df.limit(0)).collect() == []
 
 
+def test_order_holds_no_vote(spark, monkeypatch):
+    """An order decides by itself: no value is aligned and no table of votes is written."""
+    monkeypatch.setattr(consensus, "materialize", lambda *_: pytest.fail("a vote that decides nothing"))
+    df = spark.createDataFrame([(1, "t", 5, "a\nb", 1, 2, 0), (1, "t", 6, "a\nc", 9, 1, 0), (1, "t", 7, "a\nc", 9, 1, 0)], VALUES)
+    won = consensus.representatives(df, ordered=True)
+    assert [tuple(r) for r in won.collect()] == [(1, "t", 5)]
+    assert "MapInArrow" not in won._jdf.queryExecution().toString()
+
+
 def test_canonical_fields(spark):
     groups = spark.createDataFrame([(1, [1, 2, 2, None, 3], [], True, 2), (1, [8, 9], [], True, 1), (2, [1, None], [], True, 1), (3, [1, 2], [], False, 1), (4, [77, 78], [], True, 1)], "group_id bigint, notes array<bigint>, pairs array<struct<a bigint, b bigint, score double>>, is_duplicate boolean, verified_at int")
     notes = spark.createDataFrame(
