@@ -170,6 +170,32 @@ def test_tiles_are_the_nested_loop(spark, monkeypatch):
         assert got == pytest.approx(want) and len(want) > 20, (weights, thr)
 
 
+def test_one_common_value_is_no_meeting(spark):
+    """Notes with nothing but a frequent word or a frequent tag in common, which cannot be similar, do not meet."""
+    df = notes(spark, *(note(i, f"{'the' if i % 2 else i} a{i} b{i} c{i}", tags=["all"] * (i % 2 == 0) + [f"{x}{i}" for x in "abcdef"]) for i in range(40)))
+    alike = notes(spark, note(50, "the a1 b1 c1 d1", tags=["a1"]), note(51, "2 a2 b2", tags=[]))
+    k = sim.keyed(df.unionByName(alike), sim.DEDUP)
+    met = sim.meetings(k, sim.DEDUP, 0.55).groupBy("kind", "e1", "e2").count().where("count > 1").collect()
+    assert max(r["count"] for r in met) == 2 and {(r.a, r.b) for r in sim.similar_pairs(df.unionByName(alike), sim.DEDUP, 0.55).collect()} == {(1, 50), (2, 51)}
+
+
+def test_pairs_of_long_notes(spark):
+    """Titles and lists of tags too long for couples, and short ones that meet them."""
+    import random
+
+    rnd = random.Random(3)
+    words, names = [f"w{k}" for k in range(20)], [f"t{k}" for k in range(18)]
+    rows = [note(i, " ".join(rnd.sample(words, rnd.choice((2, 3, 11, 14, 17)))), tags=rnd.sample(names, rnd.choice((0, 1, 2, 11, 15)))) for i in range(90)]
+    for weights, thr in ((sim.DEDUP, 0.55), (sim.AUDIT, 0.72), ((0.0, 0.6, 0.4), 0.4)):
+        want = {}
+        for x, y in combinations(rows, 2):
+            score = weights[0] * SequenceMatcher(None, x[2], y[2]).ratio() + weights[1] * jac(set(x[7]), set(y[7])) + weights[2] * jac(set(x[2].split()), set(y[2].split()))
+            if score >= thr:
+                want[x[0], y[0]] = score
+        got = sim.similar_pairs(notes(spark, *rows), weights, thr).collect()
+        assert {(r.a, r.b): r.score for r in got} == pytest.approx(want) and len(got) == len(want) > 2, (weights, thr)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.text(max_size=14), st.text(max_size=14), st.floats(0, 1)), max_size=8))
 def test_ratios_are_left_out_only_below_the_limit(rows):
