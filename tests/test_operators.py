@@ -170,6 +170,20 @@ def test_tiles_are_the_nested_loop(spark, monkeypatch):
         assert got == pytest.approx(want) and len(want) > 20, (weights, thr)
 
 
+def test_edges_within_a_component_are_gone_through_once(spark, monkeypatch):
+    seen = []
+
+    def counted(df, name):
+        out = materialize(df, name)
+        seen.append(out.count()) if name == "edges" else None
+        return out
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    edges = [*combinations(range(9), 2), *combinations(range(20, 26), 2), (8, 25)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == dict.fromkeys([*range(9), *range(20, 26)], 0) and seen == [52, 1, 0]
+
+
 def test_one_common_value_is_no_meeting(spark):
     """Notes with nothing but a frequent word or a frequent tag in common, which cannot be similar, do not meet."""
     df = notes(spark, *(note(i, f"{'the' if i % 2 else i} a{i} b{i} c{i}", tags=["all"] * (i % 2 == 0) + [f"{x}{i}" for x in "abcdef"]) for i in range(40)))

@@ -13,25 +13,34 @@ MAX_GROUP = 4
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reached) of edges (a, b).
 
-    Each node points to a smaller one of its component. In a round every edge
-    offers the grandparent of its one end to the other end and to that end's
-    parent, and each node takes the least of what it has and is offered, so
-    trees hook onto each other and grow flat at once. It ends when no pointer
-    moves, after about as many rounds as the logarithm of the longest path.
+    In a round each node points to its smallest neighbour, if that is smaller,
+    and pointers are doubled until they end at nodes that point nowhere. These
+    stand for their trees in the next round, with the edges that are left
+    between different ones, so that all edges are gone through about once. At
+    least half of the nodes that have edges are gone after each round.
     """
     e = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    both = e.union(e.select("b", "a"))
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")).withColumn("moved", F.lit(True)), "labels")
-    while label.agg(F.max("moved")).first()[0]:
-        up = label.select(F.col("node").alias("root"), F.col("root").alias("grand"))
-        known = label.drop("moved").join(up, "root")
-        offers = both.join(known.select(F.col("node").alias("b"), "grand"), "b").join(label.select(F.col("node").alias("a"), "root"), "a")
-        offers = offers.select(F.explode(F.array("a", "root")).alias("node"), "grand").groupBy("node").agg(F.min("grand").alias("low"))
-        low = F.least("root", "grand", F.coalesce("low", "grand"))
-        turned = materialize(known.join(offers, "node", "left").select("node", low.alias("root"), (low != F.col("root")).alias("moved")), "labels")
-        release(label)
-        label = turned
-    return label.select("node", "root")
+    out = None
+    while True:
+        both = e.union(e.select("b", "a"))
+        label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")).withColumn("moved", F.lit(True)), "labels")
+        while label.agg(F.max("moved")).first()[0]:
+            up = label.select(F.col("node").alias("root"), F.col("root").alias("grand"))
+            turned = materialize(label.drop("moved").join(up, "root").select("node", F.col("grand").alias("root"), (F.col("grand") != F.col("root")).alias("moved")), "labels")
+            release(label)
+            label = turned
+        to = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        if out is None:
+            out = label.select("node", "root")
+        else:
+            later = materialize(out.join(to("root"), "root", "left").select("node", F.coalesce("root_root", "root").alias("root")), "components")
+            release(out)
+            out = later
+        left = e.join(to("a"), "a").join(to("b"), "b").where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()
+        e, done = materialize(left, "edges"), e
+        release(done)
+        if e.isEmpty():
+            return out
 
 
 def candidate_groups(pairs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
